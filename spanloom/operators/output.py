@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.numbers import format_id, ns_to_timestamp, unsigned_id
-from spanloom.schema import TIMINGS
+from spanloom.schema import TIMINGS, cut_lineage
 
 # Fixed values of the sinks.
 EMPTY_RESOURCE = "(resource empty)"
@@ -138,8 +138,9 @@ def _rfc3339(ns: Column) -> Column:
 
 
 def spans_to_json(df: DataFrame) -> DataFrame:
-    """Spans as JSON text: hex ids, RFC 3339 times, empty tags left out."""
-    tags = F.when(F.size("tags") > 0, F.col("tags"))
+    """Spans as JSON text: hex ids, RFC 3339 times, tags by key, empty tags left out."""
+    by_key = F.map_from_entries(F.sort_array(F.map_entries("tags")))
+    tags = F.when(F.size("tags") > 0, by_key)
     body = F.struct(
         format_id(F.col("span_id")).alias("id"),
         format_id(F.col("parent_id")).alias("parent"),
@@ -155,8 +156,6 @@ def spans_to_json(df: DataFrame) -> DataFrame:
 
 def write_all(df: DataFrame, sinks: Sequence[Callable[[DataFrame], None]], path: str) -> None:
     """Every sink gets every span. The spans are computed once, into a table at `path`."""
-    from spanloom.schema import cut_lineage
-
     emitted = cut_lineage(df, path)
     for sink in sinks:
         sink(emitted)

@@ -34,6 +34,7 @@ def correct_timings(spans: DataFrame, base_offset_ns: int = 0) -> DataFrame:
     """
     folder = work_dir(spans.sparkSession)
     timings = [F.col(c) for c in TIMINGS]
+    spans = cut_lineage(spans, f"{folder}/spans")
     own = spans.select(
         *_KEYS, "parent_id", "start_ns", "duration_ns", *TIMINGS, skew(*timings).alias("skew")
     )

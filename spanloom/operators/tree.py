@@ -122,7 +122,7 @@ def require_unique_root(spans: DataFrame) -> DataFrame:
 
 
 def trace_outline(spans: DataFrame, max_level: int = 6, max_children: int = 32) -> DataFrame:
-    """Depth-first listing of every trace, one row per line.
+    """Depth-first listing of every trace, one row per line; `path` sorts a trace's lines.
 
     Below `max_level` and after `max_children` children a line says what was cut. Children
     come by span id, highest first. The rank filter is cut down per task before the shuffle,
@@ -182,7 +182,7 @@ def trace_outline(spans: DataFrame, max_level: int = 6, max_children: int = 32)
     cut = listed.withColumn("marker", marker).filter(F.col("marker").isNotNull()).select(
         *TRACE, (F.col("level") + 1).alias("level"), F.concat("path", F.lit("/~")).alias("path"),
         F.col("marker").alias("text"), F.col("span_id").alias("parent_id"),
-        F.lit(None).cast("bigint").alias("span_id"),
+        F.lit(0).cast("bigint").alias("span_id"),
     )
     text = F.concat(
         "name", F.lit(" ["), F.lpad(F.lower(F.hex("span_id")), 16, "0"), F.lit("]")
