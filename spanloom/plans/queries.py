@@ -15,6 +15,7 @@ from spanloom.operators.traces import collect_traces, correct_traces, judge_trac
 from spanloom.plans import assemble
 from spanloom.schema import TIMINGS, TRACE, configure, cut_lineage, work_dir
 from spanloom.sources import payloads, sharded, tables
+from spanloom.streaming import keyed, replay, ticks
 
 ARRIVAL_GAP_US = 10 * tables.HOUR_US
 REPORT_GAP_US = 600 * tables.DAY_US
@@ -243,7 +244,8 @@ def trace_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 def trace_outline(spark: SparkSession, sf: str) -> DataFrame:
     """Cut early, so that both kinds of marker appear."""
-    outline = tree.trace_outline(merged(spark, sf), max_level=2, max_children=1)
+    spans = cut_lineage(merged(spark, sf), f"{work_dir(spark)}/merged")
+    outline = tree.trace_outline(spans, max_level=2, max_children=1)
     return outline.drop("session_no")
 
 
@@ -345,6 +347,24 @@ def topic_records(spark: SparkSession, sf: str) -> DataFrame:
     return flat(sharded.from_topic_records(records))
 
 
+def keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All arrivals through the keyed streaming assembler: the spans of closed traces."""
+    folder = work_dir(spark)
+    replay.stage_by_time(tables.arrivals(spark, sf), f"{folder}/in", 3)
+    ended = replay.replay_keyed(spark, f"{folder}/in", f"{folder}/job", ARRIVAL_GAP_US, MAX_SPANS)
+    closed = keyed.closed_rows(ended.filter(F.col("trace_id") > 0))
+    return flat(closed).select(*TRACE, *SPAN_OUT[1:], "tags", "received_at", "reports", "closed_us")
+
+
+def tick_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All reports through the tick job, one tick per slice of time: what became of traces."""
+    folder = work_dir(spark)
+    replay.stage_by_time(tables.span_reports(spark, sf), f"{folder}/in", 4)
+    limits = ticks.Limits(max_open_spans=SHED_CAP, gap_steps=((0, 300 * 86_400), (15_000, 200 * 86_400)))
+    job = replay.replay_ticks(spark, f"{folder}/in", f"{folder}/job", limits)
+    return job.results("outcomes").select("trace_id", "node_count", "status", "batch")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -356,6 +376,7 @@ QUERIES: dict[str, Query] = {
         trace_verdicts, trace_outline, corrected_spans, convert_hook, agent_spans, sink_batches,
         trace_batches, recent_spans, span_json, trace_outcomes, outcome_metrics,
         size_distribution, span_metrics, payload_size, sharded_exchange, topic_records,
+        keyed_stream, tick_stream,
     )
 }
 
