@@ -59,10 +59,10 @@ def hot(spark, n):
     i = F.col("id")
     at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + i * 10)
     return spark.range(n).select(
-        F.when(i % 3 == 0, 1).otherwise(i).cast("bigint").alias("trace_id"),
+        F.when(i % 3 == 0, 1).otherwise(i + 10).cast("bigint").alias("trace_id"),
         F.when(i % 3 == 0, F.when(i % 999 == 0, 2 + i % 50).otherwise(1)).otherwise(1).cast("bigint").alias("span_id"),
         at.alias("received_at"), i.alias("payload_id"),
-    ).crossJoin(base).withColumn("parent_id", F.when(F.col("span_id") == 1, 1).otherwise(1).cast("bigint")).select(
+    ).crossJoin(base).withColumn("parent_id", F.lit(1).cast("bigint")).select(
         *frame(spark, [report()]).columns
     )
 
