@@ -349,19 +349,17 @@ def topic_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
     """All arrivals through the keyed streaming assembler: the spans of closed traces."""
-    folder = work_dir(spark)
-    replay.stage_by_time(tables.arrivals(spark, sf), f"{folder}/in", 3)
-    ended = replay.replay_keyed(spark, f"{folder}/in", f"{folder}/job", ARRIVAL_GAP_US, MAX_SPANS)
+    reports = tables.arrivals(spark, sf)
+    ended = replay.replay_keyed(reports, work_dir(spark), 3, ARRIVAL_GAP_US, MAX_SPANS)
     closed = keyed.closed_rows(ended.filter(F.col("trace_id") > 0))
     return flat(closed).select(*TRACE, *SPAN_OUT[1:], "tags", "received_at", "reports", "closed_us")
 
 
 def tick_stream(spark: SparkSession, sf: str) -> DataFrame:
     """All reports through the tick job, one tick per slice of time: what became of traces."""
-    folder = work_dir(spark)
-    replay.stage_by_time(tables.span_reports(spark, sf), f"{folder}/in", 4)
-    limits = ticks.Limits(max_open_spans=SHED_CAP, gap_steps=((0, 300 * 86_400), (15_000, 200 * 86_400)))
-    job = replay.replay_ticks(spark, f"{folder}/in", f"{folder}/job", limits)
+    steps = ((0, 300 * 86_400), (15_000, 200 * 86_400))
+    limits = ticks.Limits(max_open_spans=SHED_CAP, gap_steps=steps)
+    job = replay.replay_ticks(tables.span_reports(spark, sf), work_dir(spark), 4, limits)
     return job.results("outcomes").select("trace_id", "node_count", "status", "batch")
 
 
