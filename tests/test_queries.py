@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spanloom.plans.oracle import ORACLE
+from spanloom.plans.queries import QUERIES, configured
 from tests.conftest import SMALL
 
 TABLES = ["orders", "lineitem", "events"]
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: configured(query) for name, query in QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
