@@ -29,6 +29,7 @@ class Steps:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, work_dir(spark), 0
+        self.latest = ""  # folder of the step written last
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -36,6 +37,7 @@ class Steps:
 
     def write(self, df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
         path, conf = self.path(name), self.spark.conf
+        self.latest = path
         before = conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
         try:
@@ -44,14 +46,11 @@ class Steps:
             conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def remove(self, df: DataFrame) -> None:
-        """Delete the files of a written step that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-            if folder.startswith("file:") or "://" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(hadoop).delete(path, True)
+    def remove(self, folder: str) -> None:
+        """Delete a written step, or a part of it, that nothing reads any more."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def range_borders(df: DataFrame, column: str, pieces: int, per_piece: int = 64) -> list[int]:

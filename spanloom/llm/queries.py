@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, packing, urls
+from spanloom.llm import chat, decontaminate, fingerprints, jaccard, licences, packing, suffixes, toxicity, urls
 from spanloom.llm.common import Steps, table
 from spanloom.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(table(spark, sf, "documents"))
+
+
+def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf, "documents"))
+
+
+def long_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf, "documents"), F.col("doc_id"))
+    return cut.select(F.col("row").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 TRICKY = r"\### Assistant: </turn> ok"
 
 
@@ -38,6 +51,18 @@ def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(pages, labelled)
 
 
+def licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf, "documents"))
+
+
+def benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def toxic_severity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def packed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
@@ -50,8 +75,14 @@ def warc_archives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": document_fingerprints,
     "op2_chat": chat_format,
+    "op3_jaccard_join": similar_documents,
     "op4_urls": url_verdicts,
+    "op5_suffix_dedup": long_repeats,
+    "op6_licences": licence_scan,
+    "op7_decontamination": benchmark_leaks,
+    "op8_toxicity": toxic_severity,
     "op9_packing": packed_batches,
     "op10_warc": warc_archives,
 }
