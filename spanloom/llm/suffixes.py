@@ -1,15 +1,15 @@
 """Removal of long repeats with a logarithmic family of sparse suffix arrays.
 
 A match is a string of 100 bytes. Of each such window only one suffix is indexed: that at the
-window's smallest hash of 24 bytes. Equal windows choose the same place, so sampled suffixes with
-different first 24 bytes share no window, and a suffix array needs about one entry in 40 bytes.
+window's smallest hash of 32 bytes. Equal windows choose the same place, so sampled suffixes with
+different first 32 bytes share no window, and a suffix array needs about one entry in 35 bytes.
 Its entries are sorted by a 64-bit hash of those first bytes, then by a hash of the whole run of
 windows that chose the place; only first occurrences of a run are kept.
 
 Documents come in batches, in ascending order of id. The suffix array of a batch is merge-scanned
 with the levels before it: runs that occur earlier are repeats as a whole, and where runs differ
-behind equal first bytes their windows are compared one by one. Then the array becomes a level,
-and levels of equal size merge, so there are at most log2(batches) + 1 of them.
+behind equal first bytes their windows are compared one by one, for several batches together. The array
+becomes a level, and levels of equal size merge, so there are at most log2(batches) + 1 of them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from spanloom.llm.common import Steps, range_borders, shuffle_partitions
 from spanloom.llm.tokens import PIECE, RAW, Spans, buffer_of, pieces
 
 WINDOW = 100  # bytes of a match
-SEED = 24  # bytes that sort a suffix
+SEED = 32  # bytes that sort a suffix
 BATCHES = 4
 HELD = 100_000  # entries of one suffix start that a scan looks at together
 
@@ -34,9 +34,8 @@ NONE = -(1 << 63)  # stands for a null id: before all others
 TAG = 40  # a place is a hash of the document's text, shifted by so many bits, plus the byte position
 TAGS = 1 << 22
 
-# kind 0: a repeat, of n windows from place on. 1: an entry. 2: an entry of an older level.
+# kind 0: a repeat, of n windows from place on. 1: an entry. 2: an entry of an older level. 3: a probe.
 ENTRY = "kind int, start bigint, run bigint, doc bigint, place bigint, n bigint"
-SCANNED = ENTRY + ", probe boolean"
 GRAM = "kind int, start bigint, gram bigint, fresh boolean, doc bigint, place bigint, n bigint"
 REPEAT = "doc bigint, place bigint, n bigint"
 
@@ -137,7 +136,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Probes are the entries whose start has several runs, one of them new. Starts are looked at as a
     whole, up to HELD entries; what comes beyond that are probes all.
     """
-    names = [c.split()[0] for c in SCANNED.split(", ")]
+    names = [c.split()[0] for c in ENTRY.split(", ")]
     before = None  # start, run, doc, place of the first entry of the last run that was given out
     forced = None  # a start of which a part was given out
 
@@ -155,8 +154,8 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = ~new & (kind == 1) & ((doc != first_doc) | (place != first_place))
         group = np.cumsum(_changes(start)) - 1
         runs = np.bincount(group, new)
-        fresh = np.bincount(group, new & (kind == 1))
-        probe = new & ((runs > 1) & (fresh > 0))[group]
+        some_new = np.bincount(group, new & (kind == 1))
+        probe = new & ((runs > 1) & (some_new > 0))[group]
         if forced is not None:
             probe |= new & (start == forced)
         if not whole:
@@ -164,12 +163,13 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forced = start[-1]
         before = (start[-1], run[-1], first_doc[-1], first_place[-1])
         r_doc, r_place, r_n = joined(doc[again], place[again], n[again])
-        kept = new & ((kind == 1) | probe)
-        zero = np.zeros(len(r_doc), np.int64)
+        fresh, zero = new & (kind == 1), np.zeros(len(r_doc), np.int64)
+        probe_kind = np.where(kind[probe] == 1, 3, 4)
         return _batch([
-            np.concatenate([np.zeros(len(r_doc), np.int32), kind[kept]]), np.concatenate([zero, start[kept]]),
-            np.concatenate([zero, run[kept]]), np.concatenate([r_doc, doc[kept]]), np.concatenate([r_place, place[kept]]),
-            np.concatenate([r_n, n[kept]]), np.concatenate([np.zeros(len(r_doc), bool), probe[kept]]),
+            np.concatenate([zero, kind[fresh], probe_kind]).astype(np.int32),
+            np.concatenate([zero, start[fresh], start[probe]]), np.concatenate([zero, run[fresh], run[probe]]),
+            np.concatenate([r_doc, doc[fresh], doc[probe]]), np.concatenate([r_place, place[fresh], place[probe]]),
+            np.concatenate([r_n, n[fresh], n[probe]]),
         ], names)
 
     held = None
@@ -177,8 +177,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [c.to_numpy() for c in batch.columns]
         repeats = rows[0] == 0
         if repeats.any():
-            passed = [c[repeats] for c in rows]
-            yield _batch([*passed, np.zeros(len(passed[0]), bool)], names)
+            yield _batch([c[repeats] for c in rows], names)
             rows = [c[~repeats] for c in rows]
         rows = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows)]
         if not len(rows[0]):
@@ -201,7 +200,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in GRAM.split(", ")]
     for batch in batches:
         data, offsets = buffer_of(batch.column("text"))
-        docs, tags, probes = batch.column("doc").to_numpy(), batch.column("tag").to_numpy(), batch.column("probes")
+        docs, tags, news = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "fresh"))
+        probes = batch.column("probes")
         found = []
         low = 0
         for low, high in pieces(offsets):
@@ -209,11 +209,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = probes.slice(low, high - low)
             rows = part.flatten()
             text = low + np.repeat(np.arange(high - low), np.diff(part.offsets.to_numpy()))
-            start, place, n, fresh = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "place", "n", "fresh"))
+            start, place, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "place", "n"))
             which = np.repeat(np.arange(len(n)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             position = (place - (tags[text] << TAG))[which] + (offsets[text] - offsets[low])[which] + step
-            found.append((start[which], spans.hash(position, position + WINDOW).view(np.int64), fresh[which], docs[text][which], place[which] + step))
+            found.append((start[which], spans.hash(position, position + WINDOW).view(np.int64), news[text][which], docs[text][which], place[which] + step))
         if not found:
             continue
         start, gram, fresh, doc, place = (np.concatenate(c) for c in zip(*found))
@@ -259,15 +259,19 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SuffixIndex:
     """Levels of suffix arrays over the documents added so far.
 
-    `add` takes documents that come after all earlier ones (columns doc, tag, text) and gives the
-    repeats in them: doc, place and n, for n windows from place on that also start earlier. Levels
-    are tables in the shared folder; the two tables of a merge are deleted after it.
+    `add` takes documents that come after all earlier ones (columns doc, tag, text); `repeats` then
+    gives the repeats in the documents added since it was last called: doc, place and n, for n
+    windows from place on that also start earlier. Levels are tables in the shared folder; the two
+    tables of a merge are deleted after it.
     """
 
     def __init__(self, spark: SparkSession):
         self.steps = Steps(spark)
         self.partitions = shuffle_partitions(spark)
         self.levels: list[tuple[int, DataFrame, str]] = []  # batches in it, entries, their folder
+        self.scans: list[DataFrame] = []  # since `repeats` was last called
+        self.seen: int | None = None  # the largest id when `repeats` was last called
+        self.last: int | None = None  # the largest id
 
     def merge_levels(self) -> None:
         """Merge the two smallest levels as long as they are equal in size."""
@@ -278,24 +282,45 @@ class SuffixIndex:
             self.steps.remove(a_folder)
             self.steps.remove(b_folder)
 
-    def add(self, docs: DataFrame, so_far: DataFrame) -> DataFrame:
-        """`so_far` has all documents added until now, these included."""
+    def add(self, docs: DataFrame, last: int | None = None) -> None:
+        """Merge-scan the suffix array of a batch with all levels, and make it a level.
+
+        `last` is the largest id that the batch may have; it is needed if more batches follow a
+        call of `repeats`.
+        """
         self.merge_levels()
+        self.last = last
         rows = docs.select("doc", "tag", "text").mapInArrow(_sampled, ENTRY)
         for _, level, _ in self.levels:
             rows = rows.unionByName(level.withColumn("kind", F.lit(2)))
         order = ["start", "run", F.col("kind").desc(), "doc", "place"]
         sorted_rows = rows.repartition(self.partitions, "start").sortWithinPartitions(*order)
-        scanned = self.steps.write(sorted_rows.mapInArrow(_scanned, SCANNED), "scanned", ["kind"])
+        scanned = self.steps.write(sorted_rows.mapInArrow(_scanned, ENTRY), "scanned", ["kind"])
         fresh = scanned.filter("kind = 1").select("start", "run", "doc", "place", "n")
         self.levels.append((1, fresh, f"{self.steps.latest}/kind=1"))
-
-        probes = scanned.filter("kind > 0 and probe").groupBy("doc", F.shiftright("place", TAG).alias("tag")).agg(
-            F.collect_list(F.struct("start", "place", "n", (F.col("kind") == 1).alias("fresh"))).alias("probes")
+        self.scans.append(scanned)
+
+    def drop_levels(self) -> None:
+        """Delete the levels; no more batches can be added."""
+        for _, _, folder in self.levels:
+            self.steps.remove(folder)
+        self.levels = []
+
+    def repeats(self, texts: DataFrame) -> DataFrame:
+        """Takes doc, tag, text of all documents added. Compares the windows of the probes."""
+        scans, self.scans = self.scans, []
+        scanned = scans[0]
+        for more in scans[1:]:
+            scanned = scanned.unionByName(more)
+        probes = scanned.filter("kind in (3, 4)").groupBy("doc", F.shiftright("place", TAG).alias("tag")).agg(
+            F.collect_set(F.struct("start", "place", "n")).alias("probes")
+        )
+        fresh = F.lit(True) if self.seen is None else F.col("doc") > self.seen
+        self.seen = self.last
+        rows = texts.join(probes, ["doc", "tag"]).select("doc", "tag", "text", "probes", fresh.alias("fresh"))
+        dealt = rows.mapInArrow(_grams, GRAM).repartition(self.partitions, "start").sortWithinPartitions(
+            "start", "gram", "fresh", "doc", "place"
         )
-        texts = so_far.join(probes, ["doc", "tag"]).select("doc", "tag", "text", "probes")
-        grams = texts.mapInArrow(_grams, GRAM)
-        dealt = grams.repartition(self.partitions, "start").sortWithinPartitions("start", "gram", "fresh", "doc", "place")
         partial = self.steps.write(dealt.mapInArrow(_repeated, REPEAT), "repeats")
         return scanned.filter("kind = 0").select("doc", "place", "n").unionByName(partial)
 
@@ -304,13 +329,12 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc, place, n: windows of 100 bytes that also start earlier, from doc, tag and text."""
     index = SuffixIndex(docs.sparkSession)
     borders = range_borders(docs, "doc", batches)
-    found = None
     for i in range(len(borders) + 1):
         upper = F.col("doc") < borders[i] if i < len(borders) else F.lit(True)
         lower = F.col("doc") >= borders[i - 1] if i else F.lit(True)
-        repeats = index.add(docs.filter(lower & upper), docs.filter(upper))
-        found = repeats if found is None else found.unionByName(repeats)
-    return found
+        index.add(docs.filter(lower & upper), borders[i] - 1 if i < len(borders) else None)
+    index.drop_levels()
+    return index.repeats(docs)
 
 
 def _cut(as_text: bool):
@@ -355,8 +379,7 @@ def remove_repeats(
     text. An empty table gives no rows; other columns are only carried. Equal strings are told by
     64-bit hashes.
 
-    Texts are shuffled by id for the comparison of windows, once for each batch with all documents
-    so far, and once for the removal.
+    Texts are shuffled by id twice: for the comparison of windows and for the removal.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
