@@ -50,9 +50,15 @@ def resemblance(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
 
 
 def containment(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    """Share of a's shingles that b has; an empty sketch is contained in all."""
-    own = np.intersect1d(merged(a, b, size), a)
-    return len(np.intersect1d(own, b)) / len(own) if len(own) else 1.0
+    """Share of a's shingles that b has, among those below the last hash of each full sketch.
+
+    An empty sketch is contained in all; 0 where b's sketch ends before a's first hash.
+    """
+    if not len(a):
+        return 1.0
+    ends = [s[-1] for s in (a, b) if len(s) >= size]
+    own = a[a <= min(ends)] if ends else a
+    return len(np.intersect1d(own, b)) / len(own) if len(own) else 0.0
 
 
 def distinct_shingles(a: np.ndarray, size: int = SIZE) -> float:

@@ -400,6 +400,6 @@ def remove_repeats(
 def drop_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents without their repeats, with all columns; n_chars is counted anew."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    cut = remove_repeats(docs, row, batches=batches, as_text=True).select("row.*", "kept")
+    cut = remove_repeats(docs, row, batches=batches, as_text=True)
     out = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
-    return cut.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[out.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
