@@ -36,6 +36,7 @@ def row_hook(
 ) -> Callable[[DataFrame], DataFrame]:
     """A hook for `convert` from a function on one span; what it raises becomes `_error`."""
     names = [f.name for f in schema.fields]
+    longs = {f.name for f in schema.fields if f.dataType.typeName() == "long"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -45,7 +46,11 @@ def row_hook(
                     rows.append({**fn(dict(span)), "_error": None})
                 except Exception as error:  # noqa: BLE001 - the hook is user code
                     rows.append({**span, "_error": str(error) or type(error).__name__})
-            yield pd.DataFrame(rows, columns=[*names, "_error"])
+            # Nullable integers: one missing value must not turn the other ids into floats.
+            yield pd.DataFrame({
+                c: pd.Series([r.get(c) for r in rows], dtype="Int64" if c in longs else object)
+                for c in [*names, "_error"]
+            })
 
     def hook(df: DataFrame) -> DataFrame:
         out = schema.simpleString().removeprefix("struct<").removesuffix(">")

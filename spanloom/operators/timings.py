@@ -62,7 +62,7 @@ def correct_timings(spans: DataFrame, base_offset_ns: int = 0) -> DataFrame:
         jumps = cut_lineage(jumped, f"{folder}/jump={round_no}")
 
     found = jumps.filter(F.col("ptr").isNull()).select(*_KEYS, "sum")
-    shifted = F.col("sum") + F.lit(base_offset_ns)
+    shifted = add(F.col("sum"), F.lit(base_offset_ns).cast("bigint"))
     known = has_all_timings(*timings)
     start = F.when(known, add(F.col("cs"), shifted)).otherwise(add(F.col("start_ns"), shifted))
     length = F.when(known, subtract(F.col("cr"), F.col("cs"))).otherwise(F.col("duration_ns"))

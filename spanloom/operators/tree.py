@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.numbers import add, subtract
 from spanloom.schema import FAKE_ROOT, TIMINGS, TRACE
 
 
@@ -37,20 +38,15 @@ def children(spans: DataFrame) -> DataFrame:
     return others.join(parents, [*TRACE, "parent_id"])
 
 
-def by_parent(spans: DataFrame, max_list: int = 8192) -> DataFrame:
-    """Spans grouped under their parent id, self-parents included.
+def by_parent(spans: DataFrame) -> DataFrame:
+    """One row per parent id and span below it, self-parents included, with the parent's count.
 
-    Lists hold up to `max_list` ids; a parent with more spans gets several rows, numbered by
-    `part`, so no list grows with the data. Parts are cut by hash, without ordering a group.
+    The counts combine before their shuffle, and are one row per parent in the join, so a parent
+    with very many spans can be split.
     """
     keys = [*TRACE, "parent_id"]
     counts = spans.groupBy(*keys).agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("span_id"), F.ceil(F.col("n") / (max_list // 2)))
-    return (
-        spans.join(counts, keys)
-        .groupBy(*keys, "n", part.alias("part"))
-        .agg(F.sort_array(F.collect_list("span_id"), asc=False).alias("span_ids"))
-    )
+    return spans.select(*keys, "span_id").join(counts, keys)
 
 
 def storage_order(df: DataFrame) -> DataFrame:
@@ -86,7 +82,7 @@ def same_parent(candidates: DataFrame) -> DataFrame:
 
 def fake_roots(spans: DataFrame) -> DataFrame:
     """The span to invent for each trace whose several candidates share a parent."""
-    end = F.try_add(F.col("start_ns"), F.col("duration_ns"))
+    end = add(F.col("start_ns"), F.col("duration_ns"))
     groups = roots(spans).groupBy(*TRACE).agg(
         F.count("*").alias("candidates"),
         F.min("parent_id").alias("low"),
@@ -103,7 +99,7 @@ def fake_roots(spans: DataFrame) -> DataFrame:
         F.lit(FAKE_ROOT).alias("name"),
         F.lit(FAKE_ROOT).alias("service"),
         "start_ns",
-        (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"),
+        subtract(F.col("end_ns"), F.col("start_ns")).alias("duration_ns"),
         *[zero.alias(c) for c in TIMINGS],
         F.create_map().cast("map<string,string>").alias("tags"),
         F.col("last_at").alias("received_at"), zero.alias("payload_id"), zero.alias("pos"),
@@ -164,7 +160,7 @@ def trace_outline(spans: DataFrame, max_level: int = 6, max_children: int = 32)
         found = above.join(kids, [*TRACE, "up"]).select(
             *TRACE, *[F.col(f"kid_{c}").alias(c) for c in line],
             F.col("up").alias("parent_id"), F.lit(depth).alias("level"),
-            F.concat("path", F.lit("/"), F.lpad("rank", 4, "0")).alias("path"),
+            F.concat("path", F.lit("/"), F.lpad("rank", 10, "0")).alias("path"),
         )
         levels.append(
             found.join(counts, [*TRACE, "span_id"], "left").withColumn(

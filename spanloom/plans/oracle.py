@@ -277,7 +277,7 @@ listing AS (
   FROM candidates
   UNION ALL
   SELECT r.trace_id, r.session_no, r.span_id, r.parent_id, r.name, l.level + 1,
-    l.path || '/' || lpad(CAST(r.rank AS VARCHAR), 4, '0')
+    l.path || '/' || lpad(CAST(r.rank AS VARCHAR), 10, '0')
   FROM listing l JOIN ranked r ON r.trace_id = l.trace_id AND r.session_no = l.session_no
     AND r.parent_id = l.span_id AND r.rank <= 1
   WHERE l.level < 2),
@@ -351,9 +351,8 @@ ORACLE: dict[str, str] = {
         FROM merged c JOIN merged p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id
         WHERE c.span_id <> c.parent_id""",
     "by_parent": f"""WITH {MERGED}
-        SELECT trace_id, parent_id, count(*) AS n, CAST(0 AS BIGINT) AS part,
-          string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY span_id DESC) AS span_ids
-        FROM merged GROUP BY trace_id, parent_id""",
+        SELECT trace_id, parent_id, span_id, count(*) OVER (PARTITION BY trace_id, parent_id) AS n
+        FROM merged""",
     "trace_root": f"""WITH {ARRIVALS}
         SELECT a.trace_id, a.span_id, a.parent_id, a.name, a.service,
           epoch_us(e.ts) * 1000 AS start_ns,

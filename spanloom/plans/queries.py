@@ -190,9 +190,7 @@ def children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def by_parent(spark: SparkSession, sf: str) -> DataFrame:
-    lists = tree.by_parent(merged(spark, sf))
-    ids = F.array_join(F.transform("span_ids", lambda i: i.cast("string")), ",")
-    return lists.select("trace_id", "parent_id", "n", "part", ids.alias("span_ids"))
+    return tree.by_parent(merged(spark, sf)).select("trace_id", "parent_id", "span_id", "n")
 
 
 def trace_root(spark: SparkSession, sf: str) -> DataFrame:
@@ -351,7 +349,7 @@ def keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
     """All arrivals through the keyed streaming assembler: the spans of closed traces."""
     reports = tables.arrivals(spark, sf)
     ended = replay.replay_keyed(reports, work_dir(spark), 3, ARRIVAL_GAP_US, MAX_SPANS)
-    closed = keyed.closed_rows(ended.filter(F.col("trace_id") > 0))
+    closed = keyed.closed_rows(ended)  # the report that ends the replay is never closed itself
     return flat(closed).select(*TRACE, *SPAN_OUT[1:], "tags", "received_at", "reports", "closed_us")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.schema import SPAN
 
 SHARDS = 12  # fixed value: partitions of the topic
+PRECISE = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # arrivals order reports by microsecond
 
 
 def shard_of(trace_id: Column, shards: int = SHARDS) -> Column:
@@ -47,13 +48,13 @@ def to_topic_records(df: DataFrame) -> DataFrame:
     """
     return df.select(
         F.col("trace_id").cast("string").cast("binary").alias("key"),
-        F.to_json(F.struct(*[c for c in df.columns if c != "shard"])).cast("binary").alias("value"),
+        F.to_json(F.struct(*[c for c in df.columns if c != "shard"]), PRECISE).cast("binary").alias("value"),
     )
 
 
 def from_topic_records(records: DataFrame) -> DataFrame:
     """Spans of topic records; records that cannot be decoded are skipped."""
-    span = F.from_json(F.col("value").cast("string"), SPAN)
+    span = F.from_json(F.col("value").cast("string"), SPAN, PRECISE)
     return (
         records.select(F.explode(F.array(span)).alias("s"))
         .filter(F.col("s.trace_id").isNotNull() & F.col("s.span_id").isNotNull())

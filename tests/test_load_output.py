@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import load, output
-from spanloom.plans.queries import tag_text
 from spanloom.sources import sharded
+from spanloom.plans.queries import tag_text
 from tests.spans import BASE_NS, frame, report
 
 
@@ -60,6 +60,21 @@ def test_hooks(spark):
     assert got.columns == df.columns and output.convert(df).count() == 3
 
 
+def test_row_hook_keeps_ids_exact(spark):
+    """A hook that drops one id must not turn the column into floats."""
+    big = (1 << 53) + 1
+    df = frame(spark, [report(big, big), report(big, 2)])
+    lose = lambda span: {**span, "trace_id": None} if span["span_id"] == 2 else span
+    got = output.convert(df, output.row_hook(df.schema, lose)).collect()
+    assert [(r.trace_id, r.span_id) for r in got] == [(big, big)]
+
+
+def test_topic_records_keep_microseconds(spark):
+    df = frame(spark, [report(1, 2, at=0.123456)])
+    back = sharded.from_topic_records(sharded.to_topic_records(df))
+    assert back.first().received_at == df.first().received_at and back.first().received_at.microsecond == 123456
+
+
 def test_json(spark):
     rows = [report(1, -1, 2, start_ns=BASE_NS + 1_500, tags={"b": "2", "a": "x\"y"}), report(1, 2)]
     got = [json.loads(r.json) for r in output.spans_to_json(frame(spark, rows)).orderBy("span_id").collect()]
