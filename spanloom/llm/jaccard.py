@@ -25,7 +25,7 @@ from spanloom.llm.tokens import STEP, mix, numbers, shingle_sets
 SHINGLE = 5  # words
 THRESHOLD = 0.8
 RECALL = 0.9999  # of pairs at the threshold
-MOST_HASHES = 128
+MOST_HASHES = 288
 FAMILY = 0.5  # similarity to a pivot that makes a member
 BLOCK = 1024  # members that are compared with as many others at a time
 FEW = 50_000  # document ids that are broadcast, instead of a join of all texts
@@ -227,15 +227,18 @@ def cross_pairs(stars: DataFrame, buckets: DataFrame, families: DataFrame, thres
     """key and pivot of pairs that share a bucket but no family, as far as a link is possible.
 
     Only buckets whose members are in different families take part. By the triangle inequality two
-    members link only if their similarities to the bucket's pivot differ by 1 - threshold at most.
+    members link only if their similarities to the bucket's pivot differ by 1 - threshold at most,
+    and the smaller set has at least the threshold's share of the larger one's size.
     """
-    near = stars.select("key", "pivot", (F.col("shared") / (F.col("n") + F.col("n_pivot") - F.col("shared"))).alias("near"))
+    near = stars.select("key", "pivot", "n", (F.col("shared") / (F.col("n") + F.col("n_pivot") - F.col("shared"))).alias("near"))
     placed = buckets.join(families.select("key", "family"), "key")
     mixed = placed.groupBy("h").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high").select("h")
     rows = placed.join(mixed, "h").join(near, ["key", "pivot"])
     a, b = rows.alias("a"), rows.alias("b")
-    may = (F.abs(F.col("a.near") - F.col("b.near")) <= 1 - threshold + 1e-9) & (F.col("a.family") != F.col("b.family"))
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key")) & may).select(
+    apart = F.abs(F.col("a.near") - F.col("b.near")) > 1 - threshold + 1e-9
+    uneven = F.least("a.n", "b.n") < threshold * F.greatest("a.n", "b.n") - 1e-9
+    may = (F.col("a.key") < F.col("b.key")) & (F.col("a.family") != F.col("b.family")) & ~apart & ~uneven
+    return a.join(b, (F.col("a.h") == F.col("b.h")) & may).select(
         F.col("a.key").alias("key"), F.col("b.key").alias("pivot")
     ).distinct()
 
