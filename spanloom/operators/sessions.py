@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.numbers import div
-from spanloom.schema import AGE_FACTOR, BLACKLIST_SIZE, MAX_TRACE_SPANS
+from spanloom.schema import AGE_FACTOR, BLACKLIST_SIZE, MAX_TRACE_SPANS, arrival_order
 
 
 def _bucket(gap_us: int) -> Column:
@@ -147,6 +147,85 @@ def session_sizes(df: DataFrame, gap_us: int) -> DataFrame:
     )
 
 
+def session_outcomes(
+    df: DataFrame, gap_us: int, max_spans: int = MAX_TRACE_SPANS
+) -> DataFrame:
+    """One row per trace: its final status, from ids, parents and arrival times alone.
+
+    Statuses are those of judge_buckets, and `closed` becomes `finished` or `no_root`. Adds
+    node_count (span ids up to the age limit), arrivals, `late` (arrivals after the age limit,
+    when the trace is on the blacklist already) and closed_us.
+
+    A root is a span that is its own parent or whose parent was not reported. So each span is
+    counted at its own id and at its parent's: an id with children but no span has as many
+    roots. Several roots below one missing parent get a fake root, and that is the only one
+    unless its own parent, which is named as the trace is, was reported.
+    """
+    limit_us = AGE_FACTOR * gap_us
+    extent = ["first_us", "last_us", "arrivals"]
+    keys = ["trace_id", "session_no", *extent]  # the extent belongs to the session
+    sessions = session_buckets(df, gap_us).select("trace_id", "bucket", "session_no", *extent)
+    slim = df.select("trace_id", "span_id", "parent_id", "received_at", "payload_id", "pos")
+    in_time = F.unix_micros("received_at") <= F.col("first_us") + limit_us
+    spans = (
+        _with_bucket(slim, gap_us).join(sessions, ["trace_id", "bucket"])
+        .groupBy(*keys, "span_id")
+        .agg(
+            F.coalesce(
+                F.min_by("parent_id", F.when(F.col("parent_id") != 0, arrival_order())), F.lit(0)
+            ).alias("parent_id"),
+            F.max(in_time).alias("in_time"),
+            F.count(F.when(~in_time, 1)).alias("late"),
+        )
+    )
+    own_parent = F.col("span_id") == F.col("parent_id")
+
+    def place(node: str, span: Column, kids: Column, late: Column) -> Column:
+        return F.struct(
+            F.col(node).alias("node"), span.alias("span"), (span & F.col("in_time")).alias("counted"),
+            (span & own_parent).alias("own_parent"), kids.cast("bigint").alias("kids"),
+            late.cast("bigint").alias("late"),
+        )
+
+    as_span = place("span_id", F.lit(True), F.lit(0), F.col("late"))
+    as_child = place("parent_id", F.lit(False), F.when(own_parent, 0).otherwise(1), F.lit(0))
+    nodes = (
+        spans.select(*keys, F.inline(F.array(as_span, as_child)))
+        .groupBy(*keys, "node")
+        .agg(
+            *[F.max(c).alias(c) for c in ("span", "counted", "own_parent")],
+            *[F.sum(c).alias(c) for c in ("kids", "late")],
+        )
+    )
+    roots = F.when(F.col("own_parent"), 1).when(~F.col("span"), F.col("kids")).otherwise(0)
+    judged = (
+        nodes.withColumn("roots", roots)
+        .groupBy(*keys)
+        .agg(
+            F.count(F.when(F.col("counted"), 1)).alias("node_count"),
+            F.sum("late").alias("late"), F.sum("roots").alias("roots"),
+            F.min(F.when(F.col("roots") > 0, F.col("node"))).alias("low"),
+            F.max(F.when(F.col("roots") > 0, F.col("node"))).alias("high"),
+            F.max(F.col("span") & (F.col("node") == F.col("trace_id"))).alias("named"),
+        )
+    )
+    fake = (F.col("low") == F.col("high")) & (~F.col("named") | (F.col("low") == F.col("trace_id")))
+    own = (
+        F.when(F.col("node_count") > max_spans, "too_large")
+        .when(F.col("last_us") - F.col("first_us") > limit_us - gap_us, "too_old")
+        .when((F.col("roots") == 1) | ((F.col("roots") > 1) & fake), "finished")
+        .otherwise("no_root")
+    )
+    before = W.partitionBy("trace_id").orderBy("session_no").rangeBetween(W.unboundedPreceding, -1)
+    was_bad = F.max(F.col("status").isin("too_large", "too_old")).over(before)
+    return judged.withColumn("status", own).select(
+        "trace_id", "session_no",
+        F.when(was_bad, "blacklisted").otherwise(F.col("status")).alias("status"),
+        "node_count", "arrivals", "late",
+        F.least(F.col("last_us") + gap_us, F.col("first_us") + limit_us).alias("closed_us"),
+    )
+
+
 def blacklist(sessions: DataFrame) -> DataFrame:
     """Trace ids to ignore and since when, from classified sessions."""
     bad = sessions.filter(F.col("status").isin("too_large", "too_old"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.merge import LIST_LIMIT, fold_lists, fold_rows, valid_spans
 from spanloom.operators.output import convert
-from spanloom.operators.sessions import classify_sessions, closed_spans
+from spanloom.operators.sessions import closed_spans, session_outcomes
 from spanloom.operators.traces import collect_traces, finish_traces, judge_traces
 from spanloom.schema import MAX_TRACE_SPANS, TRACE
 
@@ -45,13 +45,8 @@ def correct_spans(
 def trace_outcomes(
     reports: DataFrame, gap_us: int, max_spans: int = MAX_TRACE_SPANS
 ) -> DataFrame:
-    """Every trace with its final status: finished, no_root, too_large, too_old, blacklisted."""
-    valid = valid_spans(reports)
-    sessions = classify_sessions(valid, gap_us, max_spans)
-    judged = assemble_traces(reports, gap_us, max_spans).select(
-        *TRACE, "node_count", F.col("status").alias("verdict")
-    )
-    return sessions.join(judged, TRACE, "left").select(
-        *TRACE, F.coalesce("verdict", "status").alias("status"),
-        F.coalesce("node_count", F.lit(0)).alias("node_count"), "arrivals", "closed_us",
-    )
+    """Every trace with its final status: finished, no_root, too_large, too_old, blacklisted.
+
+    No span is merged for it: only ids, parents and arrival times are read and shuffled.
+    """
+    return session_outcomes(valid_spans(reports), gap_us, max_spans)

@@ -7,6 +7,7 @@ HOUR = 3_600_000_000
 DAY = 86_400_000_000
 GAP = 10 * HOUR
 REPORT_GAP = 600 * DAY
+METRICS_GAP = 100 * DAY
 LIMIT_2020 = 1577836800000000000
 ORDER = "ORDER BY received_at, payload_id, pos"
 ID = "trace_id, session_no"
@@ -18,13 +19,13 @@ lines AS (
     CASE WHEN l_quantity = 1 THEN 500 ELSE CAST(l_quantity AS BIGINT) * 1000000 END AS d
   FROM lineitem l),
 reports AS (
-  SELECT o_orderkey AS trace_id, o_orderkey * 16 AS span_id, CAST(0 AS BIGINT) AS parent_id,
+  SELECT o_orderkey AS trace_id, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_orderkey * 16 END AS span_id, CAST(0 AS BIGINT) AS parent_id,
     'order-' || o_orderstatus AS name, 'customer-' || (o_custkey % 10) AS service,
     epoch_us(o_orderdate) * 1000 + {SHIFT} AS start_ns, CAST(2000000000 AS BIGINT) AS duration_ns,
     CAST(0 AS BIGINT) AS cs, CAST(0 AS BIGINT) AS cr, CAST(0 AS BIGINT) AS ss, CAST(0 AS BIGINT) AS sr,
     [{{'k': 'priority', 'v': o_orderpriority}}] AS tags,
     epoch_us(o_orderdate) AS received_at, CAST(-1 AS BIGINT) AS payload_id, CAST(0 AS BIGINT) AS pos
-  FROM orders WHERE o_orderstatus <> 'P'
+  FROM orders
   UNION ALL
   SELECT l_orderkey, l_orderkey * 16 + l_linenumber, l_orderkey * 16 + l_linenumber // 2,
     CASE WHEN l_tax = 0 THEN '' ELSE 'line-' || l_linenumber || '-' || l_linestatus END,
@@ -84,9 +85,10 @@ MERGED = f"{VALID}, {merged_from('valid')}"
 def roots_of(source: str, name: str) -> str:
     return f"""
 {name} AS (
-  SELECT m.* FROM {source} m WHERE m.parent_id = m.span_id OR NOT EXISTS (
-    SELECT 1 FROM {source} p WHERE p.trace_id = m.trace_id AND p.session_no = m.session_no
-      AND p.span_id = m.parent_id))"""
+  SELECT m.* FROM {source} m LEFT JOIN (
+    SELECT DISTINCT trace_id AS t, session_no AS s, span_id AS known FROM {source}) p
+    ON t = m.trace_id AND s = m.session_no AND known = m.parent_id
+  WHERE known IS NULL OR m.parent_id = m.span_id)"""
 
 
 TREE = f"""{roots_of('merged', 'candidates')},
@@ -183,13 +185,12 @@ FULL = f"""{REPORT_SESSIONS}, {TREE}, {WALK},
 emitted AS (SELECT c.*, j.closed_us FROM corrected c JOIN judged j USING ({ID}))"""
 
 OUTCOMES = f"""{REPORT_SESSIONS}, {TREE},
-counts AS (SELECT {ID}, count(*) AS n FROM merged GROUP BY ALL),
 outcomes AS (
   SELECT j.trace_id, j.session_no,
     CASE WHEN j.status <> 'closed' THEN j.status WHEN u.trace_id IS NULL THEN 'no_root'
          ELSE 'finished' END AS status,
-    coalesce(c.n, 0) AS node_count, j.arrivals, j.closed_us
-  FROM judged j LEFT JOIN unique_traces u USING ({ID}) LEFT JOIN counts c USING ({ID}))"""
+    j.node_count, j.arrivals, j.closed_us
+  FROM judged j LEFT JOIN unique_traces u USING ({ID}))"""
 
 # Payload fields, per lineitem.
 PAYLOAD = f"""
@@ -436,15 +437,18 @@ ORACLE: dict[str, str] = {
         FROM judged""",
     "span_metrics": f"""WITH {LINES},
         flagged AS (SELECT *, sr > 0 OR ss > 0 AS srv FROM reports WHERE trace_id <> 0 AND span_id <> 0),
-        {sessions_from('flagged', REPORT_GAP, 5)},
+        {sessions_from('flagged', METRICS_GAP, 5)},
+        placed AS (
+          SELECT status, received_at > first_us + 5 * {METRICS_GAP} AS late
+          FROM cut JOIN judged USING ({ID})),
         kept_spans AS (
           SELECT {ID}, span_id, count(*) AS reports FROM cut JOIN judged USING ({ID})
           WHERE status = 'closed' GROUP BY ALL)
         SELECT CAST((SELECT sum(reports - 1) FROM kept_spans) AS BIGINT) AS merged_reports,
           (SELECT count(*) FROM kept_spans) AS spans,
-          CAST(coalesce(sum(arrivals) FILTER (WHERE status = 'blacklisted'), 0) AS BIGINT) AS blacklisted,
-          CAST(coalesce(sum(arrivals) FILTER (WHERE {_BAD}), 0) AS BIGINT) AS discarded
-        FROM judged""",
+          count(*) FILTER (WHERE status = 'blacklisted' OR {_BAD} AND late) AS blacklisted,
+          count(*) FILTER (WHERE {_BAD} AND NOT late) AS dropped
+        FROM placed""",
     "payload_size": f"""WITH {LINES}, sized AS (
           SELECT octet_length(encode('{{"trace_id":"' || {HEX.format('trace_id')} || '","span_id":"'
             || {HEX.format('span_id')} || '","parent_id":"' || {HEX.format('parent_id')}

@@ -19,6 +19,7 @@ from spanloom.streaming import keyed, replay, ticks
 
 ARRIVAL_GAP_US = 10 * tables.HOUR_US
 REPORT_GAP_US = 600 * tables.DAY_US
+METRICS_GAP_US = 100 * tables.DAY_US
 MAX_SPANS = 25  # so that some test traces are too large
 SHED_CAP = 20_000
 
@@ -56,12 +57,8 @@ def valid_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rooted(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans with fake roots, of the traces with a unique root. Each step reads its input
-    several times, so the steps are tables."""
-    folder = work_dir(spark)
-    spans = cut_lineage(merged(spark, sf), f"{folder}/merged")
-    grown = cut_lineage(tree.inject_fake_root(spans), f"{folder}/grown")
-    return tree.require_unique_root(grown)
+    """Spans with fake roots, of the traces with a unique root."""
+    return tree.require_unique_root(tree.inject_fake_root(merged(spark, sf)))
 
 
 def open_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,10 +319,9 @@ def size_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    valid = merge.valid_spans(tables.span_reports(spark, sf))
-    judged = sessions.classify_sessions(valid, REPORT_GAP_US, 5)
-    kept = merge.merge_spans(sessions.closed_spans(valid, REPORT_GAP_US, 5))
-    return metrics.span_metrics(kept, judged)
+    """With a gap at which some ids come in after their trace's age limit."""
+    outcomes = assemble.trace_outcomes(tables.span_reports(spark, sf), METRICS_GAP_US, 5)
+    return metrics.span_metrics(outcomes)
 
 
 def payload_size(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Spans, arrivals and payloads made from the star-schema test tables.
 
-span_reports: an order is a trace. Its root span comes from `orders` unless the order is
-pending; each lineitem is one report of span order*16 + line, below order*16 + line/2. Line
+span_reports: an order is a trace. Its root span comes from `orders`, with span id 0 and so not
+valid where the order is pending; each lineitem is one report of span order*16 + line, below order*16 + line/2. Line
 numbers repeat and have gaps, so there are duplicate reports and missing parents. Reports
 with return flag R keep their clock before 2020; the others are moved on by 30 years.
 """
@@ -20,11 +20,7 @@ HOUR_US = 3_600 * 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Small scales come as one row group, which one task would read alone, so
-    those are spread over the cores; a table of many files is left as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _timestamp(name: str) -> Column:
@@ -98,9 +94,10 @@ def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(_timestamp("o_orderdate"))
     return (
         table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") != "P")
         .select(
-            order.alias("trace_id"), (order * 16).alias("span_id"), zero.alias("parent_id"),
+            order.alias("trace_id"),
+            F.when(F.col("o_orderstatus") == "P", zero).otherwise(order * 16).alias("span_id"),
+            zero.alias("parent_id"),
             F.concat(F.lit("order-"), "o_orderstatus").alias("name"),
             F.concat(F.lit("customer-"), F.col("o_custkey") % 10).alias("service"),
             (at * 1000 + F.lit(SHIFT_NS)).alias("start_ns"),

@@ -97,3 +97,12 @@ def test_hot_key_is_split_in_the_session_join(spark, tmp_path, no_broadcast):
 
 def test_nothing_in_the_main_plan_is_python(spark):
     assert "Python" not in plan(queries.corrected_spans(spark, SMALL))
+
+
+def test_outcomes_read_ids_and_times_twice(spark, tmp_path, no_broadcast):
+    frame(spark, [report()]).write.parquet(str(tmp_path / "r"))
+    text = plan(assemble.trace_outcomes(spark.read.parquet(str(tmp_path / "r")), 8_000_000))
+    read = re.findall(r"ReadSchema: struct<([^>\n]*)", text)
+    wanted = {"trace_id", "span_id", "parent_id", "received_at", "payload_id", "pos"}
+    assert len(read) == 2 and all(set(re.findall(r"(\w+):", r)) <= wanted for r in read)
+    assert text.count("Join") == 1

@@ -116,3 +116,37 @@ def test_equals_clocked_assembler(spark, seed):
         if r.status != "blacklisted":
             got.setdefault(r.trace_id, []).append((r.status, r.arrivals if r.status == "closed" else None))
     assert got == want
+
+
+def test_arrivals_after_the_age_limit_count_as_blacklisted(spark):
+    from spanloom.operators.metrics import span_metrics
+
+    rows = [report(1, i + 1, 1, at=7 * i) for i in range(30)] + [report(1, 99, at=500)]
+    rows += [report(2, 1, 1), report(2, 1, 1, at=1), report(2, 2, 1)]
+    outcomes = S.session_outcomes(frame(spark, rows), 8_000_000)
+    got = {(r.trace_id, r.session_no): (r.status, r.node_count, r.arrivals, r.late) for r in outcomes.collect()}
+    assert got == {(1, 1): ("too_old", 6, 30, 24), (1, 2): ("blacklisted", 1, 1, 0), (2, 1): ("finished", 2, 3, 0)}
+    counts = span_metrics(outcomes).first().asDict()
+    assert counts == {"merged_reports": 1, "spans": 2, "blacklisted": 25, "dropped": 6}
+
+
+def test_outcomes_of_odd_trees(spark):
+    trees = {
+        1: [(1, 1), (2, 1)],  # own parent
+        2: [(5, 9), (6, 9)],  # one missing parent: a fake root
+        3: [(5, 8), (6, 9)],  # two missing parents
+        4: [(1, 2), (2, 1)],  # a circle
+        5: [(1, 0), (2, 0)],  # unknown parents: the fake root has id 0
+        6: [(6, 7), (5, 7)],  # the fake root's parent is span 6, so it is none
+        7: [(1, 7), (2, 7)],  # the fake root is its own parent
+        8: [(1, 1), (2, 2)],
+    }
+    rows = [report(t, s, p) for t, spans in trees.items() for s, p in spans]
+    got = {r.trace_id: r.status for r in S.session_outcomes(frame(spark, rows), 8_000_000).collect()}
+    wrong = {3, 4, 6, 8}
+    assert got == {t: "no_root" if t in wrong else "finished" for t in trees}
+    from spanloom.operators.merge import merge_spans
+    from spanloom.operators.traces import collect_traces, judge_traces
+
+    merged = merge_spans(frame(spark, rows, session_no=1))
+    assert got == {r.trace_id: r.status for r in judge_traces(collect_traces(merged)).collect()}
