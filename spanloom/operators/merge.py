@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.normalise import last_wins_map
-from spanloom.schema import MAX_TRACE_SPANS, TIMINGS, TRACE
+from spanloom.schema import TIMINGS, TRACE
 
 # What a merged span carries, beside its keys.
 MERGED_COLUMNS = [
@@ -21,28 +21,6 @@ def valid_spans(df: DataFrame) -> DataFrame:
     return df.filter((F.col("trace_id") != 0) & (F.col("span_id") != 0))
 
 
-# Up to this many reports, a span's (or a whole trace's) reports may be one list in memory.
-LIST_LIMIT = 4 * MAX_TRACE_SPANS
-
-
-def merge_spans(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
-    """One row per span from any number of reports, as if folded in arrival order.
-
-    The first report is the base: its start, duration and timings stay. Parent, name,
-    service and tags are filled from later ones, and replaced by later server reports.
-
-    A count of ids alone decides how: spans with a bounded number of reports, which is all
-    but the broken ones, fold as short lists; the others fold as rows, combined before the
-    shuffle. Both give the same result.
-    """
-    spans = [*keys, "span_id"]
-    counts = df.groupBy(*spans).agg(F.count("*").alias("n_reports"))
-    counted = df.join(counts, spans)
-    few = counted.filter(F.col("n_reports") <= LIST_LIMIT)
-    many = counted.filter(F.col("n_reports") > LIST_LIMIT)
-    return fold_lists(few, keys).unionByName(fold_rows(many, keys))
-
-
 def _with_counts(df: DataFrame) -> DataFrame:
     """Merged spans coming in again (streaming state) bring their counts along."""
     if "reports" in df.columns:
@@ -52,69 +30,11 @@ def _with_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def fold_lists(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
-    """Merge by folding each span's list of reports; the lists must be bounded."""
-    keys = [*keys, "span_id"]
-    server = ((F.col("sr") > 0) | (F.col("ss") > 0)).alias("server")
-    report = F.struct(
-        "received_at", "payload_id", "pos", server, "parent_id", "name", "service", "start_ns",
-        "duration_ns", *TIMINGS, "reports", "last_at", F.map_entries("tags").alias("entries"),
-    )
-    lists = _with_counts(df).groupBy(*keys).agg(F.sort_array(F.collect_list(report)).alias("r"))
-    r = F.col("r")
-    base = F.get(r, F.lit(0))
-
-    def first(name: str, wanted) -> Column:
-        return F.get(F.filter(r, wanted), F.lit(0))[name]
-
-    def last(name: str, wanted) -> Column:
-        return F.try_element_at(F.filter(r, wanted), F.lit(-1))[name]
-
-    def text(name: str) -> Column:
-        return F.coalesce(
-            last(name, lambda x: x["server"] & (x[name] != "")),
-            first(name, lambda x: x[name] != ""),
-            F.lit(""),
-        )
-
-    def client(name: str) -> Column:
-        return F.coalesce(last(name, lambda x: ~x["server"] & (x[name] > 0)), base[name])
-
-    # Of equal keys the last entry stays: first values in reverse, then server values.
-    entries = F.flatten(
-        F.concat(
-            F.transform(F.reverse(r), lambda x: F.reverse(x["entries"])),
-            F.transform(F.filter(r, lambda x: x["server"]), lambda x: x["entries"]),
-        )
-    )
-    folded = {
-        "parent_id": F.coalesce(
-            first("parent_id", lambda x: x["parent_id"] != 0), F.lit(0).cast("bigint")
-        ),
-        "name": text("name"),
-        "service": text("service"),
-        "cs": client("cs"),
-        "cr": client("cr"),
-        "ss": F.coalesce(last("ss", lambda x: x["ss"] > 0), base["ss"]),
-        "sr": F.coalesce(last("sr", lambda x: x["sr"] > 0), base["sr"]),
-        "reports": F.aggregate(r, F.lit(0).cast("bigint"), lambda n, x: n + x["reports"]),
-        "last_at": F.array_max(F.transform(r, lambda x: x["last_at"])),
-    }
-    single = F.size(r) == 1
-    columns = []
-    for c in MERGED_COLUMNS:
-        if c == "tags":
-            tags = F.when(single, F.map_from_entries(base["entries"])).otherwise(last_wins_map(entries))
-            columns.append(tags.alias(c))
-        elif c in folded:
-            columns.append(F.when(single, base[c]).otherwise(folded[c]).alias(c))
-        else:
-            columns.append(base[c].alias(c))
-    return lists.select(*keys, *columns)
-
+def merge_spans(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
+    """One row per span from any number of reports, as if folded in arrival order.
 
-def fold_rows(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
-    """Merge by grouping, for spans with any number of reports.
+    The first report is the base: its start, duration and timings stay. Parent, name,
+    service and tags are filled from later ones, and replaced by later server reports.
 
     Every field of the fold is the first or the last qualifying value in arrival order, so
     all of it is min_by/max_by, which combine before the shuffle: a span reported a billion
@@ -187,3 +107,68 @@ def fold_rows(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
         once(F.col("reports"), "reports"),
     )
     return spans.select("*", "at.*").select(*keys, *MERGED_COLUMNS)
+
+
+def fold_lists(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
+    """The same as merge_spans by folding each span's list of reports, after one shuffle.
+
+    The lists must be bounded, and nothing is combined before the shuffle: it is for traces that
+    are known to be small.
+    """
+    keys = [*keys, "span_id"]
+    server = ((F.col("sr") > 0) | (F.col("ss") > 0)).alias("server")
+    report = F.struct(
+        "received_at", "payload_id", "pos", server, "parent_id", "name", "service", "start_ns",
+        "duration_ns", *TIMINGS, "reports", "last_at", F.map_entries("tags").alias("entries"),
+    )
+    lists = _with_counts(df).groupBy(*keys).agg(F.sort_array(F.collect_list(report)).alias("r"))
+    r = F.col("r")
+    base = F.get(r, F.lit(0))
+
+    def first(name: str, wanted) -> Column:
+        return F.get(F.filter(r, wanted), F.lit(0))[name]
+
+    def last(name: str, wanted) -> Column:
+        return F.try_element_at(F.filter(r, wanted), F.lit(-1))[name]
+
+    def text(name: str) -> Column:
+        return F.coalesce(
+            last(name, lambda x: x["server"] & (x[name] != "")),
+            first(name, lambda x: x[name] != ""),
+            F.lit(""),
+        )
+
+    def client(name: str) -> Column:
+        return F.coalesce(last(name, lambda x: ~x["server"] & (x[name] > 0)), base[name])
+
+    # Of equal keys the last entry stays: first values in reverse, then server values.
+    entries = F.flatten(
+        F.concat(
+            F.transform(F.reverse(r), lambda x: F.reverse(x["entries"])),
+            F.transform(F.filter(r, lambda x: x["server"]), lambda x: x["entries"]),
+        )
+    )
+    folded = {
+        "parent_id": F.coalesce(
+            first("parent_id", lambda x: x["parent_id"] != 0), F.lit(0).cast("bigint")
+        ),
+        "name": text("name"),
+        "service": text("service"),
+        "cs": client("cs"),
+        "cr": client("cr"),
+        "ss": F.coalesce(last("ss", lambda x: x["ss"] > 0), base["ss"]),
+        "sr": F.coalesce(last("sr", lambda x: x["sr"] > 0), base["sr"]),
+        "reports": F.aggregate(r, F.lit(0).cast("bigint"), lambda n, x: n + x["reports"]),
+        "last_at": F.array_max(F.transform(r, lambda x: x["last_at"])),
+    }
+    single = F.size(r) == 1
+    columns = []
+    for c in MERGED_COLUMNS:
+        if c == "tags":
+            tags = F.when(single, F.map_from_entries(base["entries"])).otherwise(last_wins_map(entries))
+            columns.append(tags.alias(c))
+        elif c in folded:
+            columns.append(F.when(single, base[c]).otherwise(folded[c]).alias(c))
+        else:
+            columns.append(base[c].alias(c))
+    return lists.select(*keys, *columns)

@@ -130,8 +130,13 @@ def merge_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_spans_by_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The way taken for spans with very many reports, here for all."""
-    return flat(merge.fold_rows(one_session(tables.span_reports(spark, sf)))).drop("session_no")
+    """Early reports merged first and then with the later ones, as open spans of a stream are."""
+    reports = merge.valid_spans(tables.span_reports(spark, sf))
+    early = F.col("received_at") < F.timestamp_micros(F.lit(9_000 * tables.DAY_US))
+    columns = [*reports.columns, "reports", "last_at"]
+    some = merge.merge_spans(reports.filter(early), ["trace_id"]).select(*columns)
+    rest = reports.filter(~early).withColumns({"reports": F.lit(1).cast("bigint"), "last_at": F.col("received_at")})
+    return flat(merge.merge_spans(some.unionByName(rest.select(*columns)), ["trace_id"]))
 
 
 def sessionize(spark: SparkSession, sf: str) -> DataFrame:

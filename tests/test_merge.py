@@ -1,11 +1,13 @@
 import random
+from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import merge as M
-from tests.spans import fold_in_order, frame, report
+from tests.spans import EPOCH, fold_in_order, frame, report
 
-FOLDS = [M.merge_spans, M.fold_lists, M.fold_rows]
+FOLDS = [M.merge_spans, M.fold_lists]
 FIELDS = ["parent_id", "name", "service", "start_ns", "duration_ns", "cs", "cr", "ss", "sr", "tags"]
 
 
@@ -56,10 +58,12 @@ def test_equals_ordered_fold(spark, fold):
         assert got[g].reports == len(own) and got[g].last_at.timestamp() == own[-1]["received_at"].timestamp()
 
 
-def test_many_reports_of_one_span(spark, monkeypatch):
-    """Above the list limit the other way is taken, with the same result."""
+def test_merged_spans_merge_on_with_later_reports(spark):
     rows = random_reports(random.Random(6), 60)
     df = frame(spark, rows, session_no=1)
-    want = sorted(M.merge_spans(df).collect(), key=lambda r: r.trace_id)
-    monkeypatch.setattr(M, "LIST_LIMIT", 2)
-    assert sorted(M.merge_spans(df).collect(), key=lambda r: r.trace_id) == want
+    columns = [*df.columns, "reports", "last_at"]
+    early = F.col("received_at") < F.lit(EPOCH + timedelta(seconds=2))
+    later = df.filter(~early).withColumns({"reports": F.lit(1).cast("bigint"), "last_at": F.col("received_at")})
+    both = M.merge_spans(df.filter(early)).select(*columns).unionByName(later.select(*columns))
+    by_trace = lambda d: sorted(d.collect(), key=lambda r: r.trace_id)
+    assert by_trace(M.merge_spans(both)) == by_trace(M.merge_spans(df))

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import sessions
-from spanloom.operators.merge import LIST_LIMIT
+from spanloom.operators.merge import merge_spans
 from spanloom.operators.traces import correct_traces
 from spanloom.plans import assemble, queries
+from spanloom.plans.assemble import LIST_LIMIT
 from spanloom.sources import payloads, tables
 from tests.conftest import SMALL
 from tests.spans import frame, merged_frame, report
@@ -75,6 +76,20 @@ def test_hot_trace_merges_as_rows(spark):
     assert got[0] == n // 3 and got[1] > LIST_LIMIT and got[2] > 1
 
 
+def test_hot_span_merges_without_adaptive_plans(spark):
+    """Its reports are combined in each task, so that few rows of it are shuffled."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = merge_spans(hot(spark, 200_000), ["trace_id"])
+        text = plan(merged)
+        assert "SortMergeJoin" not in text and text.index("partial_min_by") > text.index("Exchange")
+        got = merged.filter("trace_id = 1").agg(F.sum("reports"), F.max("reports")).first()
+        assert got[0] == 66_667 and got[1] > 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
 def test_hot_key_is_split_in_the_session_join(spark, tmp_path, no_broadcast):
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
