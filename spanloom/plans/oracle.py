@@ -461,7 +461,8 @@ ORACLE: dict[str, str] = {
     "sharded_exchange": f"WITH {LINES} SELECT {RAW_COLUMNS} FROM reports",
     "topic_records": f"WITH {LINES} SELECT {RAW_COLUMNS} FROM reports",
     "keyed_stream": f"""WITH {JUDGED}
-        SELECT {ID}, span_id, cut.parent_id, cut.name, service, received_at * 1000 AS start_ns,
+        SELECT CASE WHEN trace_id % 2 = 1 THEN -trace_id ELSE trace_id END AS trace_id, session_no,
+          span_id, cut.parent_id, cut.name, service, received_at * 1000 AS start_ns,
           CAST(round(e.value * 1000) * 1000 AS BIGINT) AS duration_ns, 'props=' || e.props AS tags,
           received_at, CAST(1 AS BIGINT) AS reports, last_us + {GAP} AS closed_us
         FROM cut JOIN judged USING ({ID}) JOIN events e ON e.event_id = cut.span_id

@@ -20,6 +20,7 @@ from spanloom.streaming import keyed, replay, ticks
 ARRIVAL_GAP_US = 10 * tables.HOUR_US
 REPORT_GAP_US = 600 * tables.DAY_US
 METRICS_GAP_US = 100 * tables.DAY_US
+KEYED_LATENESS = "20 days"  # two slices of the replay
 MAX_SPANS = 25  # so that some test traces are too large
 SHED_CAP = 20_000
 
@@ -347,10 +348,16 @@ def topic_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """All arrivals through the keyed streaming assembler: the spans of closed traces."""
-    reports = tables.arrivals(spark, sf)
-    ended = replay.replay_keyed(reports, work_dir(spark), 3, ARRIVAL_GAP_US, MAX_SPANS)
-    closed = keyed.closed_rows(ended)  # the report that ends the replay is never closed itself
+    """All arrivals through the keyed streaming assembler: the spans of closed traces. Odd ids turn
+    negative, and every fifth report comes in a third of the time late."""
+    reports = tables.arrivals(spark, sf).withColumn(
+        "trace_id", F.when(F.col("trace_id") % 2 == 1, -F.col("trace_id")).otherwise(F.col("trace_id"))
+    )
+    late = F.col("payload_id") % 5 == 0
+    ended = replay.replay_keyed(
+        reports, work_dir(spark), 3, ARRIVAL_GAP_US, MAX_SPANS, late, KEYED_LATENESS
+    )
+    closed = keyed.closed_rows(ended)
     return flat(closed).select(*TRACE, *SPAN_OUT[1:], "tags", "received_at", "reports", "closed_us")
 
 
