@@ -338,7 +338,8 @@ ORACLE: dict[str, str] = {
         SELECT CAST(sum(node_count) FILTER (WHERE node_count <= 4) AS BIGINT) AS open_spans,
           count(*) AS open_traces FROM open""",
     "shed_largest": f"""WITH {OPEN},
-        hashed AS (SELECT *, ((trace_id % 2147483648) * 2654435761) % 4294967296 AS h FROM open),
+        hashed AS (SELECT *, ((trace_id % 2147483648) * 2654435761 % 4294967296
+            + (trace_id // 2147483648) % 2147483648 * 2246822519 % 4294967296) % 4294967296 AS h FROM open),
         running AS (
           SELECT trace_id, node_count, sum(node_count) OVER () AS total,
             coalesce(sum(node_count) OVER (ORDER BY node_count DESC, h // 65536, h, trace_id

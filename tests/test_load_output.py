@@ -128,3 +128,12 @@ def test_sharded_round_trip(spark, tmp_path):
     records = sharded.to_topic_records(df)
     broken = spark.createDataFrame([(b"1", b"no span"), (b"1", b"")], "key binary, value binary")
     assert flat(sharded.from_topic_records(records.unionByName(broken))) == flat(df)
+
+
+def test_shedding_tells_ids_with_equal_low_bits_apart(spark):
+    """Ties are settled by all bits of an id, so such ids spread over the cells."""
+    traces = spark.range(2000).select((F.col("id") * 2**40 + 7).alias("trace_id"), F.lit(3).cast("bigint").alias("node_count"))
+    gone = load.shed_largest(traces, 3000)
+    assert gone.count() == 1001
+    cells = traces.select(F.shiftright(load._tie(F.col("trace_id")), 16).alias("cell")).distinct().count()
+    assert cells > 1500
