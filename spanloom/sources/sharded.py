@@ -16,16 +16,15 @@ def shard_of(trace_id: Column, shards: int = SHARDS) -> Column:
 
 
 def write_sharded(
-    df: DataFrame, path: str, shards: int = SHARDS, pieces: int = 16, max_records: int = 5_000_000
+    df: DataFrame, path: str, shards: int = SHARDS, max_records: int = 5_000_000
 ) -> None:
     """Parquet folders per shard, so a reader of one shard sees whole traces.
 
-    Each shard is written by up to `pieces` tasks, split by span id, so a trace that holds
-    much of the data does not end up in one task or one file.
+    Adaptive execution splits a shard over as many tasks as its size asks for, so neither the
+    number of shards nor a trace that holds much of the data limits how many tasks write.
     """
-    piece = F.pmod(F.xxhash64("span_id"), F.lit(pieces))
     sharded = df.withColumn("shard", shard_of(F.col("trace_id"), shards))
-    spread = sharded.repartition(F.col("shard"), piece)
+    spread = sharded.hint("rebalance", F.col("shard"))
     spread.write.mode("overwrite").partitionBy("shard").option(
         "maxRecordsPerFile", max_records
     ).parquet(path)
