@@ -32,6 +32,11 @@ def subtract(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_subtract(a, b), _wrap(_wide(a) - _wide(b)))
 
 
+def wrapped_integer(text: Column) -> Column:
+    """An integer of at most 38 digits, of which the low 64 bits are kept."""
+    return F.coalesce(text.try_cast("bigint"), _wrap(text.try_cast("decimal(38,0)")))
+
+
 def div(a: Column, b: int) -> Column:
     """Integer division that truncates toward zero."""
     return F.call_function("div", a, F.lit(b).cast("bigint"))
