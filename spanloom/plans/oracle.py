@@ -192,6 +192,87 @@ outcomes AS (
     j.node_count, j.arrivals, j.closed_us
   FROM judged j LEFT JOIN unique_traces u USING ({ID}))"""
 
+def ticks_from(source: str, times: str, n: int, steps: list[tuple[int, int]], max_open: int, extra: int) -> str:
+    """CTEs of `n` ticks over a table of reports, in slices of the time that `times` takes up:
+    `outcomes`, `kept` and `gauges`.
+
+    Each tick is written out: reports that the blacklist lets through join the open ones, and the
+    load of all open traces decides the gap. `extra` microseconds after the last report there is
+    one more tick, if that is not 0.
+    """
+    last = n if extra else n - 1
+    reached = " ".join(f"WHEN open_spans >= {low} THEN {s}" for low, s in reversed(steps))
+    gap = f"CAST(CASE {reached} END AS BIGINT)"
+    parts = [f"""
+span_of_time AS (SELECT min(received_at) AS low, max(received_at) AS high FROM {times}),
+sliced AS MATERIALIZED (
+  SELECT r.*, sr > 0 OR ss > 0 AS srv, (received_at - low) // ((high - low) // {n} + 1) AS slice
+  FROM {source} r, span_of_time),
+open_0 AS (SELECT * FROM sliced WHERE false),
+black_0 AS (SELECT CAST(0 AS BIGINT) AS trace_id, CAST(0 AS BIGINT) AS since_us WHERE false)"""]
+    for k in range(1, last + 2):
+        now = f"max(received_at) FILTER (WHERE slice < {k})" if k <= n else f"max(received_at) + {extra}"
+        parts.append(f"""
+valid_{k} AS (SELECT * FROM sliced WHERE slice = {k - 1} AND trace_id <> 0 AND span_id <> 0),
+held_{k} AS MATERIALIZED (
+  SELECT * FROM open_{k - 1} UNION ALL SELECT * FROM valid_{k} ANTI JOIN black_{k - 1} USING (trace_id)),
+now_{k} AS (SELECT {now} AS now_us FROM sliced),
+traces_{k} AS (
+  SELECT trace_id, count(DISTINCT span_id) AS node_count, min(received_at) AS started, max(received_at) AS updated
+  FROM held_{k} GROUP BY trace_id),
+load_{k} AS (
+  SELECT now_us, open_spans, {gap} AS gap_s FROM now_{k}, (
+    SELECT coalesce(sum(node_count) FILTER (WHERE node_count <= 8192), 0) AS open_spans FROM traces_{k})),
+judged_{k} AS MATERIALIZED (
+  SELECT trace_id, node_count, CASE WHEN node_count > 8192 THEN 'too_large'
+    WHEN started < now_us - 5000000 * gap_s THEN 'too_old'
+    WHEN updated <= now_us - 1000000 * gap_s THEN 'closed' END AS status
+  FROM traces_{k}, load_{k}),
+running_{k} AS (
+  SELECT trace_id, node_count, sum(node_count) OVER () AS total,
+    coalesce(sum(node_count) OVER (ORDER BY node_count DESC, {TIE} // 65536, {TIE}, trace_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
+  FROM judged_{k} WHERE status IS NULL),
+shed_{k} AS MATERIALIZED (
+  SELECT trace_id, node_count FROM running_{k}, load_{k}
+  WHERE open_spans > {max_open} AND total - gone >= {max_open}),
+staying_{k} AS MATERIALIZED (
+  SELECT trace_id FROM judged_{k} ANTI JOIN shed_{k} USING (trace_id) WHERE status IS NULL),
+open_{k} AS MATERIALIZED (SELECT * FROM held_{k} SEMI JOIN staying_{k} USING (trace_id)),
+black_{k} AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT * FROM black_{k - 1} UNION ALL
+    SELECT trace_id, now_us FROM judged_{k}, load_{k} WHERE status IN ('too_large', 'too_old'))
+  ORDER BY since_us DESC, trace_id DESC LIMIT 1023)""")
+    every = range(1, last + 2)
+    closed = " UNION ALL ".join(
+        f"SELECT h.*, CAST({k - 1} AS BIGINT) AS session_no FROM held_{k} h SEMI JOIN "
+        f"(SELECT trace_id FROM judged_{k} WHERE status = 'closed') USING (trace_id)" for k in every
+    )
+    ended = " UNION ALL ".join(
+        f"SELECT trace_id, node_count, status, {k - 1} AS session_no FROM judged_{k} WHERE status IS NOT NULL "
+        f"UNION ALL SELECT trace_id, node_count, 'discarded', {k - 1} FROM shed_{k}" for k in every
+    )
+    gauges = " UNION ALL ".join(
+        f"SELECT now_us, CAST(open_spans AS BIGINT) AS open_spans, CAST(gap_s AS BIGINT) AS gap_s, "
+        f"(SELECT count(*) FROM staying_{k}) AS open_traces, "
+        f"(SELECT count(*) FROM valid_{k} SEMI JOIN black_{k - 1} USING (trace_id)) AS blacklisted_reports, "
+        f"{k - 1} AS batch FROM load_{k}" for k in every
+    )
+    return ",".join(parts) + f""",
+closed AS MATERIALIZED ({closed}),
+{merged_from('closed')}, {TREE},
+outcomes AS (
+  SELECT e.trace_id, e.node_count, e.session_no AS batch,
+    CASE WHEN e.status <> 'closed' THEN e.status WHEN u.trace_id IS NULL THEN 'no_root' ELSE 'finished' END AS status
+  FROM ({ended}) e LEFT JOIN unique_traces u ON u.trace_id = e.trace_id AND u.session_no = e.session_no),
+gauges AS ({gauges})"""
+
+
+TIE = """(((trace_id % 2147483648) * 2654435761 % 4294967296
+  + (trace_id // 2147483648) % 2147483648 * 2246822519 % 4294967296) % 4294967296)"""
+TICKS = f"{LINES}, {ticks_from('reports', 'reports', 4, [(0, 300 * 86_400), (15_000, 200 * 86_400)], 20_000, 10 * 365 * DAY)}"
+
 # Payload fields, per lineitem.
 PAYLOAD = f"""
 p AS (
@@ -468,4 +549,27 @@ ORACLE: dict[str, str] = {
           received_at, CAST(1 AS BIGINT) AS reports, last_us + {GAP} AS closed_us
         FROM cut JOIN judged USING ({ID}) JOIN events e ON e.event_id = cut.span_id
         WHERE status = 'closed'""",
+    "tick_stream": f"WITH {TICKS} SELECT trace_id, node_count, status, batch FROM outcomes",
+    "tick_gauges": f"WITH {TICKS} SELECT * FROM gauges",
+    "compressed_payloads": f"""
+        SELECT CAST(s_nationkey + 1 AS BIGINT) AS trace_id, s_suppkey AS span_id, CAST(0 AS BIGINT) AS parent_id,
+          s_name AS name, '' AS service, s_suppkey * 1000000 + {SHIFT} AS start_ns,
+          CASE WHEN s_suppkey % 100 = 0 THEN 1000000 ELSE s_suppkey % 100 * 1000 END AS duration_ns,
+          CAST(0 AS BIGINT) AS cs, CAST(0 AS BIGINT) AS cr,
+          s_suppkey * 1000000 + {SHIFT} + CASE WHEN s_suppkey % 100 = 0 THEN 1000000 ELSE s_suppkey % 100 * 1000 END AS ss,
+          s_suppkey * 1000000 + {SHIFT} AS sr, 'nation=' || s_nationkey || ',protocolVersion=json v2' AS tags
+        FROM supplier""",
+    "fan_out": f"WITH {MERGED} SELECT {SPAN}, sink FROM merged CROSS JOIN (VALUES ('columns'), ('lines')) t(sink)",
+    "payload_stream": f"""WITH {V1}, {V2.removeprefix(PAYLOAD + ",")}, {JAEGER.removeprefix(PAYLOAD + ",")},
+        spans AS (
+          SELECT {SPAN}, cs, cr, ss, sr, [{{'k': 'k', 'v': tags}}] AS tags, received_at, payload_id, pos
+          FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT {SPAN_COLUMNS} FROM jaeger)),
+        {ticks_from('spans', 'p', 4, [(0, 100 * 86_400)], 100_000, 0)},
+        placed AS (
+          SELECT p.*, (received_at - low) // ((high - low) // 4 + 1) AS batch
+          FROM p, (SELECT min(received_at) AS low, max(received_at) AS high FROM p))
+        SELECT status AS what, batch, count(*) AS n, CAST(sum(node_count) AS BIGINT) AS total FROM outcomes GROUP BY ALL
+        UNION ALL SELECT 'dead', batch, 3 * count(*), CAST(3 * sum(payload_id) AS BIGINT) FROM placed WHERE spoilt GROUP BY ALL
+        UNION ALL SELECT 'ingested', batch, 3 * count(*), 5 * count(*) FILTER (WHERE NOT spoilt) FROM placed GROUP BY ALL
+        UNION ALL SELECT 'emitted', session_no, count(*), CAST(sum(span_id % 1000) AS BIGINT) FROM kept GROUP BY ALL""",
 }

@@ -23,6 +23,8 @@ METRICS_GAP_US = 100 * tables.DAY_US
 KEYED_LATENESS = "20 days"  # two slices of the replay
 MAX_SPANS = 25  # so that some test traces are too large
 SHED_CAP = 20_000
+TICK_STEPS = ((0, 300 * 86_400), (15_000, 200 * 86_400))
+PAYLOAD_GAP_DAYS = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -361,12 +363,58 @@ def keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
     return flat(closed).select(*TRACE, *SPAN_OUT[1:], "tags", "received_at", "reports", "closed_us")
 
 
+def _ticked(spark: SparkSession, sf: str) -> ticks.TickJob:
+    """All reports through the tick job, one tick per slice of time."""
+    limits = ticks.Limits(max_open_spans=SHED_CAP, gap_steps=TICK_STEPS)
+    return replay.replay_ticks(tables.span_reports(spark, sf), work_dir(spark), 4, limits)
+
+
 def tick_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """All reports through the tick job, one tick per slice of time: what became of traces."""
-    steps = ((0, 300 * 86_400), (15_000, 200 * 86_400))
-    limits = ticks.Limits(max_open_spans=SHED_CAP, gap_steps=steps)
-    job = replay.replay_ticks(tables.span_reports(spark, sf), work_dir(spark), 4, limits)
-    return job.results("outcomes").select("trace_id", "node_count", "status", "batch")
+    """What became of traces, tick by tick."""
+    return _ticked(spark, sf).results("outcomes").select("trace_id", "node_count", "status", "batch")
+
+
+def tick_gauges(spark: SparkSession, sf: str) -> DataFrame:
+    return _ticked(spark, sf).results("gauges")
+
+
+def compressed_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of gzip files with a payload each."""
+    path = f"{work_dir(spark)}/zipped"
+    tables.write_supplier_payloads(spark, sf, path)
+    spans = payloads.ingest_zipkin_v2(payloads.read_payload_files(spark, path, "json-v2"))
+    return flat(spans).select(*SPAN_OUT, *TIMINGS, "tags")
+
+
+def fan_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans to a Parquet and a JSON table at once, both read back."""
+    folder = work_dir(spark)
+    spans = merged(spark, sf).select(*SPAN_OUT)
+    output.write_all(
+        spans, [lambda df: df.write.parquet(f"{folder}/columns"), lambda df: df.write.json(f"{folder}/lines")], f"{folder}/spans"
+    )
+    columns = spark.read.parquet(f"{folder}/columns").withColumn("sink", F.lit("columns"))
+    lines = spark.read.schema(spans.schema).json(f"{folder}/lines").withColumn("sink", F.lit("lines"))
+    return columns.unionByName(lines)
+
+
+def payload_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads of all protocols through the running job: outcomes of traces, and rows of the other tables."""
+    limits = ticks.Limits(gap_steps=((0, PAYLOAD_GAP_DAYS * 86_400),))
+    job = replay.replay_payloads(tables.raw_payloads(spark, sf), work_dir(spark), 4, limits)
+    outcomes = job.results("outcomes").groupBy(F.col("status").alias("what"), "batch").agg(
+        F.count("*").alias("n"), F.sum("node_count").alias("total")
+    )
+    dead = job.results("dead_letters").groupBy(F.lit("dead").alias("what"), "batch").agg(
+        F.count("*").alias("n"), F.sum("payload_id").alias("total")
+    )
+    spans = job.results("ingested").groupBy(F.lit("ingested").alias("what"), "batch").agg(
+        F.sum("payloads").alias("n"), F.sum("spans").alias("total")
+    )
+    emitted = job.results("emitted").groupBy(F.lit("emitted").alias("what"), "batch").agg(
+        F.count("*").alias("n"), F.sum(F.col("span_id") % 1000).alias("total")
+    )
+    return outcomes.unionByName(dead).unionByName(spans).unionByName(emitted)
 
 
 QUERIES: dict[str, Query] = {
@@ -380,7 +428,7 @@ QUERIES: dict[str, Query] = {
         trace_verdicts, trace_outline, corrected_spans, convert_hook, agent_spans, sink_batches,
         trace_batches, recent_spans, span_json, trace_outcomes, outcome_metrics,
         size_distribution, span_metrics, payload_size, sharded_exchange, topic_records,
-        keyed_stream, tick_stream,
+        keyed_stream, tick_stream, tick_gauges, compressed_payloads, fan_out, payload_stream,
     )
 }
 

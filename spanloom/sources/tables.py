@@ -271,3 +271,16 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(raw_zipkin_v2(spark, sf_dir))
         .unionByName(raw_jaeger(spark, sf_dir))
     )
+
+
+def write_supplier_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A gzip file per supplier, each with one v2 payload of one span."""
+    key = F.col("s_suppkey")
+    span = F.struct(
+        format_id(_long(F.col("s_nationkey")) + 1).alias("traceId"), format_id(key).alias("id"),
+        F.col("s_name").alias("name"), F.lit("SERVER").alias("kind"),
+        (key * 1000 + F.lit(SHIFT_NS // 1000)).alias("timestamp"), (key % 100).alias("duration"),
+        F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("tags"),
+    )
+    files = table(spark, sf_dir, "supplier").select(key.alias("file"), F.to_json(F.array(span)).alias("value"))
+    files.write.partitionBy("file").option("compression", "gzip").text(path)
