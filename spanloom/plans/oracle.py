@@ -564,9 +564,9 @@ ORACLE: dict[str, str] = {
         spans AS (
           SELECT {SPAN}, cs, cr, ss, sr, [{{'k': 'k', 'v': tags}}] AS tags, received_at, payload_id, pos
           FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT {SPAN_COLUMNS} FROM jaeger)),
-        {ticks_from('spans', 'p', 4, [(0, 100 * 86_400)], 100_000, 0)},
+        {ticks_from('spans', 'p', 2, [(0, 100 * 86_400)], 100_000, 0)},
         placed AS (
-          SELECT p.*, (received_at - low) // ((high - low) // 4 + 1) AS batch
+          SELECT p.*, (received_at - low) // ((high - low) // 2 + 1) AS batch
           FROM p, (SELECT min(received_at) AS low, max(received_at) AS high FROM p))
         SELECT status AS what, batch, count(*) AS n, CAST(sum(node_count) AS BIGINT) AS total FROM outcomes GROUP BY ALL
         UNION ALL SELECT 'dead', batch, 3 * count(*), CAST(3 * sum(payload_id) AS BIGINT) FROM placed WHERE spoilt GROUP BY ALL

@@ -11,7 +11,7 @@ from spanloom.functions import numbers as X
 from spanloom.functions.clocks import skew
 from spanloom.operators import load, merge, metrics, output, sessions, tree
 from spanloom.operators.timings import correct_timings
-from spanloom.operators.traces import collect_traces, correct_traces, judge_traces
+from spanloom.operators.traces import bounded, collect_traces, correct_traces, judge_traces
 from spanloom.plans import assemble
 from spanloom.schema import TIMINGS, TRACE, configure, cut_lineage, work_dir
 from spanloom.sources import payloads, sharded, tables
@@ -237,11 +237,11 @@ def correct_timings_by_joins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def correct_traces_by_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(correct_traces(merged(spark, sf))).select(*SPAN_OUT, "tags")
+    return flat(correct_traces(bounded(merged(spark, sf)))).select(*SPAN_OUT, "tags")
 
 
 def trace_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    judged = judge_traces(collect_traces(merged(spark, sf)))
+    judged = judge_traces(collect_traces(bounded(merged(spark, sf))))
     return judged.select("trace_id", "node_count", "faked", "status")
 
 
@@ -270,7 +270,7 @@ def convert_hook(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agent_spans(spark: SparkSession, sf: str) -> DataFrame:
-    spans = output.agent_spans(correct_traces(merged(spark, sf)))
+    spans = output.agent_spans(correct_traces(bounded(merged(spark, sf))))
     text_ids = {c: F.col(c).cast("string") for c in ("span_id", "trace_id", "parent_id")}
     return spans.withColumns({**text_ids, "meta": tag_text(F.col("meta"))}).drop("session_no")
 
@@ -401,7 +401,7 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
 def payload_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads of all protocols through the running job: outcomes of traces, and rows of the other tables."""
     limits = ticks.Limits(gap_steps=((0, PAYLOAD_GAP_DAYS * 86_400),))
-    job = replay.replay_payloads(tables.raw_payloads(spark, sf), work_dir(spark), 4, limits)
+    job = replay.replay_payloads(tables.raw_payloads(spark, sf), work_dir(spark), 2, limits)
     outcomes = job.results("outcomes").groupBy(F.col("status").alias("what"), "batch").agg(
         F.count("*").alias("n"), F.sum("node_count").alias("total")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.clocks import skew
 from spanloom.operators import tree as T
 from spanloom.operators.timings import correct_timings
-from spanloom.operators.traces import collect_traces, correct_traces, judge_traces
+from spanloom.operators.traces import bounded, collect_traces, correct_traces, judge_traces
 from tests.spans import BASE_NS, merged_frame, report, walk
 
 MS = 1_000_000
@@ -162,3 +162,9 @@ def test_outline_orders_signed_ids(spark):
     rows = [report(1, 5, 5), report(1, -9, 5), report(1, 9, 5), report(1, -2, 7), report(1, 8, 7)]
     lines = T.trace_outline(merged_frame(spark, rows)).orderBy("path").collect()
     assert [x.span_id for x in lines] == [8, 5, 9, -9, -2]
+
+
+def test_too_large_traces_are_not_collected(spark):
+    df = merged_frame(spark, [report(1, i + 1, 1) for i in range(6)] + [report(2, i + 1, 1) for i in range(5)])
+    assert [r.trace_id for r in bounded(df, 5).select("trace_id").distinct().collect()] == [2]
+    assert bounded(df, 6).count() == 11
