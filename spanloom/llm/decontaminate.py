@@ -2,8 +2,11 @@
 
 A seed is a window of words seen through a fixed mask that ignores some places, so a substituted
 word at an ignored place still hits. Seeds of documents and benchmark items are joined by hash;
-around each hit the two texts are compared word by word, and an overlap counts if enough words
-agree, whichever of the others were substituted.
+along each hit the two texts are compared word by word, and an overlap counts if enough words
+agree, whichever of the others were substituted. The masks are chosen so that every overlap that
+counts holds a seed: each stretch of n words with n // 4 substitutions at most has one, wherever
+they are (tried out for all places up to twice the shortest stretch; a longer stretch has a part
+of such a length with no larger share of substitutions).
 """
 
 from __future__ import annotations
@@ -17,10 +20,13 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.tokens import STEP, buffer_of, mix, pieces, word_hashes
 
-MASKS = ("1110111", "11011011", "110100111", "1011010011", "111001010001")
+MASKS = ("111011", "110100011", "1001111", "111000101", "110111")  # for stretches of 9 words and more
+SHORT_MASKS = ("11011", "1111", "1100011", "11101", "10111")  # for stretches of 4 words and more
+SHORT = 12  # words; shorter items are sought with the short masks
 LEAST_ITEM = 5  # words; shorter items can't be told from chance
-LEAST_WORDS = 13  # words that agree in an overlap; all words of shorter items
+LEAST_WORDS = 13  # words that agree in an overlap; this share of the words of shorter items:
 LEAST_SHARE = 0.75  # of the words of an overlap agree
+PART = 1 << 20  # hits, or words along them, that are compared at a time
 BLOCK_BYTES = 4 << 20  # of benchmark texts that one scan of the documents holds
 
 LEAK = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint, n_equal bigint"
@@ -48,12 +54,10 @@ class Block:
         self.words, self.first = word_hashes(data, offsets)
         self.item_ids = np.array(item_ids, np.int64)
         counts = np.diff(self.first)
-        whole = [(m, m.count("1")) for m in MASKS]
+        self.least = np.minimum(LEAST_WORDS, np.ceil(LEAST_SHARE * counts)).astype(np.int64)
         self.tables = []
-        longest = max(len(m) for m in MASKS)
-        for mask, item in [(m, counts >= len(m)) for m, _ in whole] + [
-            ("1" * n, counts == n) for n in range(LEAST_ITEM, longest)
-        ]:
+        long, short = counts >= SHORT, (counts >= LEAST_ITEM) & (counts < SHORT)
+        for mask, item in [(m, long) for m in MASKS] + [(m, short) for m in SHORT_MASKS]:
             at, keys = seeds(self.words, self.first, mask)
             used = item[np.searchsorted(self.first, at, "right") - 1]
             at, keys = at[used], keys[used]
@@ -63,9 +67,8 @@ class Block:
                 seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
                 self.tables.append((mask, keys[order], at[order], np.packbits(seen)))
 
-    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the documents and place in the items of each pair of equal seeds."""
-        mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def hits(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Place in the documents and place in the items of each pair of equal seeds, in parts."""
         for mask, keys, places, seen in self.tables:
             at, found = seeds(words, first, mask)
             low = (found & np.uint64((1 << 22) - 1)).astype(np.int64)
@@ -73,35 +76,60 @@ class Block:
             at, found = at[maybe], found[maybe]
             left = np.searchsorted(keys, found, "left")
             n = np.searchsorted(keys, found, "right") - left
-            mine.append(np.repeat(at, n))
-            theirs.append(places[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        return np.concatenate(mine), np.concatenate(theirs)
+            at, left, n = at[n > 0], left[n > 0], n[n > 0]
+            for low, high in pieces(np.concatenate([[0], np.cumsum(n)]), PART):
+                yield np.repeat(at[low:high], n[low:high]), places[ragged(left[low:high], n[low:high])]
 
     def leaks(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple]:
         """(text, item): the overlap with the most equal words, for texts that leak an item."""
-        mine, theirs = self.hits(words, first)
-        text = np.searchsorted(first, mine, "right") - 1
-        item = np.searchsorted(self.first, theirs, "right") - 1
-        shift = mine - theirs
         found: dict[tuple[int, int], tuple] = {}
-        for t, i, s in set(zip(text.tolist(), item.tolist(), shift.tolist())):
-            low = max(int(self.first[i]), int(first[t]) - s)
-            high = min(int(self.first[i + 1]), int(first[t + 1]) - s)
-            equal = self.words[low:high] == words[low + s : high + s]
-            a, b = best_run(equal)
-            n_equal = int(equal[a:b].sum())
-            if n_equal >= min(LEAST_WORDS, self.first[i + 1] - self.first[i]) and n_equal >= LEAST_SHARE * (b - a):
-                row = (n_equal, a - b, -(low + s + a - int(first[t])), low + a - int(self.first[i]))
-                found[t, i] = max(found.get((t, i), row), row)
+        for mine, theirs in self.hits(words, first):
+            text = np.searchsorted(first, mine, "right") - 1
+            item = np.searchsorted(self.first, theirs, "right") - 1
+            shift = mine - theirs
+            order = np.lexsort((shift, item, text))
+            text, item, shift = text[order], item[order], shift[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+            text, item, shift = text[new], item[new], shift[new]
+            low = np.maximum(self.first[item], first[text] - shift)
+            size = np.minimum(self.first[item + 1], first[text + 1] - shift) - low
+            long = size >= self.least[item]
+            text, item, shift, low, size = text[long], item[long], shift[long], low[long], size[long]
+            for begin, end in pieces(np.concatenate([[0], np.cumsum(size)]), PART):
+                part = slice(begin, end)
+                at = ragged(low[part], size[part])
+                equal = self.words[at] == words[at + np.repeat(shift[part], size[part])]
+                ends = np.cumsum(size[part])
+                n_equal = np.add.reduceat(equal, ends - size[part], dtype=np.int64)
+                for j in np.flatnonzero(n_equal >= self.least[item[part]]).tolist():
+                    t, i, s, w = int(text[begin + j]), int(item[begin + j]), int(shift[begin + j]), int(low[begin + j])
+                    own = equal[ends[j] - size[begin + j] : ends[j]]
+                    a, b = longest_overlap(own)
+                    n = int(own[a:b].sum())
+                    if n >= self.least[i]:
+                        row = (n, a - b, -(w + s + a - int(first[t])), w + a - int(self.first[i]))
+                        found[t, i] = max(found.get((t, i), row), row)
         return found
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch with the highest score: 1 for each equal word, -2 for each other one."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    return int(np.flatnonzero(sums[: end + 1] == low[end])[-1]), end
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each start, the n numbers from it on."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def longest_overlap(equal: np.ndarray) -> tuple[int, int]:
+    """The longest stretch of which the least share is equal, without the unequal words at its ends.
+
+    If any such stretch has enough equal words, this one has: the other can be widened until its
+    share is used up, and is no longer then.
+    """
+    sums = np.concatenate([[0], np.cumsum(equal - LEAST_SHARE)])
+    later = np.maximum.accumulate(sums[::-1])[::-1]
+    end = np.searchsorted(-later, -sums, "right") - 1
+    start = int(np.argmax(end - np.arange(len(sums))))
+    inside = start + np.flatnonzero(equal[start : end[start]])
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (start, start)
 
 
 def _leaks(block: Block):
@@ -147,8 +175,8 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, doc_word, item_word, n_words, n_equal: the best overlap of each pair that leaks.
 
-    A pair leaks if along one alignment a stretch has 13 equal words (all, for shorter items) and
-    three quarters of its words are equal. Items of under 5 words, null items and null texts never
+    A pair leaks if along one alignment a stretch has 13 equal words (three quarters of the item's,
+    if that is less) and three quarters of its words are equal; all such pairs are found. Items of under 5 words, null items and null texts never
     match. A benchmark of any size is taken in blocks of `block_bytes`, each with one narrow scan of
     the documents and no shuffle. Repeated rows are reported each on their own; empty tables give no
     rows. Other columns are not read.

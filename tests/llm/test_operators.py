@@ -279,6 +279,45 @@ def test_substitutions_are_found():
     assert sum((k, k) in found for k in range(200)) >= 190 and all(a == b for a, b in found)
 
 
+def test_replaced_words_in_short_items(spark):
+    """Items of 6 to 20 words leak as long as three quarters agree, wherever words are replaced."""
+    import pyarrow as pa
+    from spanloom.llm.tokens import buffer_of, word_hashes
+
+    items = {n: prose(700 + n, n).split() for n in range(6, 21)}
+    block = decontaminate.Block(list(items), [" ".join(w).encode() for w in items.values()])
+    for place, (n, words) in enumerate(items.items()):
+        for k in (1, 2, 3):
+            texts = [
+                "before it " + " ".join("zz" if j in gone else w for j, w in enumerate(words)) + " after it"
+                for gone in combinations(range(n), k)
+            ]
+            found = block.leaks(*word_hashes(*buffer_of(pa.array(texts))))
+            assert sorted(found) == ([(t, place) for t in range(len(texts))] if 4 * k <= n else []), (n, k)
+            assert all(row[0] == n - k for row in found.values())
+    twenty = [" ".join("zz" if j in gone else w for j, w in enumerate(items[20])) for gone in combinations(range(20), 4)]
+    assert len(block.leaks(*word_hashes(*buffer_of(pa.array(twenty))))) == len(twenty)
+    rows = spark.createDataFrame([(1, twenty[7]), (2, " ".join(items[20][:12]))], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.find_leaks(rows, tests).collect()] == [(1, 20, 16)]
+
+
+def test_every_stretch_that_counts_has_a_seed():
+    """All places of n // 4 substitutions among n words, for lengths that longer ones are made of."""
+    for masks, sizes in ((decontaminate.SHORT_MASKS, range(4, 12)), (decontaminate.MASKS, range(9, 21))):
+        for n in sizes:
+            k = n // 4 if n > 9 or masks is decontaminate.SHORT_MASKS and n > 4 else 0
+            left = np.ones((len(list(combinations(range(n), k))), n), bool)
+            for row, gone in zip(left, combinations(range(n), k)):
+                row[list(gone)] = False
+            hit = np.zeros(len(left), bool)
+            for mask in masks:
+                used = [i for i, c in enumerate(mask) if c == "1"]
+                for at in range(n - len(mask) + 1):
+                    hit |= left[:, [at + i for i in used]].all(axis=1)
+            assert hit.all(), (masks, n)
+
+
 # --- 8 toxicity
 
 
