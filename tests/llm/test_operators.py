@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -247,6 +248,43 @@ def test_licences(spark, docs, no_docs):
     assert licences.scan_licences(no_docs).count() == 0
 
 
+NOTICES = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_wrapped_notices_and_spdx_lines(spark):
+    wanted, rows = {}, []
+
+    def add(text, licences_):
+        wanted[len(rows)] = licences_
+        rows.append((len(rows), text))
+
+    for family, notice in NOTICES.items():
+        for width, mark in ((40, ""), (72, " * "), (76, "# "), (1000, "")):
+            lines = [mark + line for line in textwrap.wrap(notice, width)]
+            add("\n".join(lines), family)
+            add("\n".join([prose(900, 30), *lines, prose(901, 30)]), family)
+            add("\n".join([mark + "Copyright 2020 A. Person", mark, *lines, mark, prose(902, 200)]), family)
+    whole = "\n\n".join(textwrap.fill(NOTICES[f], 60) for f in ("BSD", "MIT"))
+    add(whole, "BSD,MIT")
+    for said, families in (("GPL-2.0-or-later", "GPL-2.0"), ("(MIT OR Apache-2.0)", "Apache-2.0,MIT"), ("BSD-3-Clause */", "BSD"), ("ISC", "")):
+        add(f"// SPDX-License-Identifier: {said}\n" + prose(903, 20), families)
+    add("See the SPDX license list.", "")
+    add("\n".join(textwrap.wrap("This program is free and you can use it as you like; the terms of the public library are published by the general manager, who may modify the version of the list at any time.", 50)), "")
+    add("\n\n".join(textwrap.wrap(NOTICES["GPL-3.0"], 12)), "")  # single lines tell too little
+    found = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: found[i].licences for i in wanted if found[i].licences != wanted[i]} == {}
+    assert found[0].n_licensed <= found[0].n_paragraphs == rows[0][1].count("\n") + 1
+
+
 # --- 7 decontamination
 
 
