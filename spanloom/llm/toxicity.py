@@ -77,11 +77,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_ordinal(
     rows: np.ndarray, words: np.ndarray, values: np.ndarray, grades: np.ndarray, n_words: int,
-    steps: int = 600, rate: float = 0.1, decay: float = 1e-4,
+    steps: int = 600, rate: float = 0.1, decay: float = 1e-4, mass: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds with the least penalised negative log likelihood, by Adam."""
+    """Weights and thresholds with the least penalised negative log likelihood, by Adam.
+
+    `mass` says how many documents each stands for, on a scale with mean 1; without it, one each.
+    """
     n, k = len(grades), GRADES - 1
-    share = np.array([(grades >= g).mean() for g in range(1, GRADES)]).clip(1e-3, 1 - 1e-3)
+    mass = np.ones(n) if mass is None else mass
+    share = np.array([np.average(grades >= g, weights=mass) for g in range(1, GRADES)]).clip(1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log((1 - share) / share) + 1e-2 * np.arange(k))
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
     x = np.concatenate([np.zeros(n_words), start[:1], gaps])
@@ -92,7 +96,7 @@ def fit_ordinal(
         reach = np.hstack([np.ones((n, 1)), sigmoid(score[:, None] - thresholds), np.zeros((n, 1))])
         slope = reach * (1 - reach)
         upper, lower = reach[np.arange(n), grades], reach[np.arange(n), grades + 1]
-        chance = np.maximum(upper - lower, 1e-9)
+        chance = np.maximum(upper - lower, 1e-9) / mass
         by_score = -(slope[np.arange(n), grades] - slope[np.arange(n), grades + 1]) / chance
         by_threshold = np.array([
             np.sum(np.where(grades == g, slope[:, g] / chance, 0) - np.where(grades == g - 1, slope[:, g] / chance, 0))
@@ -139,17 +143,18 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
     """Fit on at most `sample_rows` labelled documents, those with the smallest hashes of their id
-    in each class; of near copies within a class one is used. Null ids and labels are left out.
-    Without both classes, all is clean.
+    in each class; of near copies within a class one is used. Each class counts with the number of
+    all its labels, however many of them are sampled, so that the thresholds fit the real shares at
+    every size. Null ids and labels are left out. Without both classes, all is clean.
 
     The ids of the sample are bounded, so they are broadcast and the texts stay where they are.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(
         "doc_id is not null and toxic in (0, 1)"
-    )
+    ).distinct()
     classes = [
-        known.filter(F.col("toxic") == toxic).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2)
+        known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2)
         for toxic in (0, 1)
     ]
     steps = Steps(spark)
@@ -165,6 +170,7 @@ def fit(
     nothing = Model(np.empty(0, np.uint64), np.empty(0), np.array([40.0, 41.0]))
     if not clean or not toxic:
         return nothing
+    all_labels = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     used = counted.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     )
@@ -184,11 +190,14 @@ def fit(
         .select("toxic", "row", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
         .join(F.broadcast(chosen), "word").select("toxic", "row", "word", "count").toPandas()
     )
-    return _fitted(entries, vocabulary, clean, toxic)
+    return _fitted(entries, vocabulary, clean, toxic, all_labels[0], all_labels[1])
 
 
-def _fitted(entries, vocabulary: np.ndarray, clean: int, toxic: int) -> Model:
-    """The model, from the known words of each sampled document; those without any count too."""
+def _fitted(entries, vocabulary: np.ndarray, clean: int, toxic: int, all_clean: int, all_toxic: int) -> Model:
+    """The model, from the known words of each sampled document; those without any count too.
+
+    The sampled documents of a class stand for all labels of the class.
+    """
     ids, rows = np.unique(entries["row"].to_numpy(), return_inverse=True)
     label = np.zeros(len(ids), int)
     label[rows] = entries["toxic"].to_numpy()
@@ -201,7 +210,8 @@ def _fitted(entries, vocabulary: np.ndarray, clean: int, toxic: int) -> Model:
     telling = np.bincount(rows, counts, len(label))
     usual = np.median(telling[label == 1])
     grades = np.where(label == 0, 0, np.where(telling > usual, 2, 1))
-    weights, thresholds = fit_ordinal(rows, words, np.log2(1.0 + counts), grades, len(vocabulary))
+    mass = np.where(label == 0, all_clean / clean, all_toxic / toxic)
+    weights, thresholds = fit_ordinal(rows, words, np.log2(1.0 + counts), grades, len(vocabulary), mass=mass / mass.mean())
     return Model(vocabulary, weights, thresholds)
 
 

@@ -373,6 +373,19 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxicity(table.limit(0), labels).count() == 0
 
 
+def test_a_sample_keeps_the_real_share_of_toxic_documents(spark):
+    """One word that half of its documents are toxic with: a sample of a ninth of the clean ones says the same."""
+    import pyarrow as pa
+
+    toxic, clean = 150, 2700
+    rows = [(i, prose(i + 5000, 30) + (" vile" if (i % 10 if i < toxic else i % 20 == 0) else "")) for i in range(toxic + clean)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(toxic + clean)], "doc_id bigint, toxic int")
+    texts = pa.array(["something vile here", "something else here"])
+    whole, small = (toxicity.fit(table, labels, sample_rows=n).chances(texts)[:, 0] for n in (16_000, 600))
+    assert abs(whole[0] - 0.5) < 0.1 and abs(small - whole).max() < 0.1, (whole, small)
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(1)
     grades = rng.integers(0, 3, 300)
