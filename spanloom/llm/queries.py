@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, fingerprints, jaccard, licences, packing, suffixes, toxicity, urls
+from spanloom.llm import (
+    chat, decontaminate, fingerprints, hard_negatives, jaccard, lexical, licences, packing, suffixes, toxicity, urls, vector_file,
+)
 from spanloom.llm.common import Steps, table
 from spanloom.llm.warc import read_warc, write_warc
 
@@ -74,6 +76,22 @@ def warc_archives(spark: SparkSession, sf: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def ranked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def mined_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth row is an anchor; labels of every seventh row are moved on by one."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, F.pmod(label + 1, F.lit(10))).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), vec_id % 100 == 0, moved)
+
+
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth row asks."""
+    return vector_file.top_inner(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": document_fingerprints,
     "op2_chat": chat_format,
@@ -85,4 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxic_severity,
     "op9_packing": packed_batches,
     "op10_warc": warc_archives,
+    "op11_lexical_search": ranked_documents,
+    "op12_hard_negatives": mined_negatives,
+    "op13_vector_search": nearest_vectors,
 }

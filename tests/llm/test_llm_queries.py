@@ -13,7 +13,7 @@ from tests.llm.test_operators import brute_classes, pairs_of
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
