@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 from spanloom.schema import work_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of the rows that a worker gets at a time, unless one row is larger
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to workers in batches bounded by bytes as well as by their number."""
+    set_to = spark.conf.get(ARROW_BYTES, None)
+    if set_to is None or not set_to.isdigit() or int(set_to) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +39,7 @@ class Steps:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, work_dir(spark), 0
+        small_batches(spark)
         self.latest = ""  # folder of the step written last
 
     def path(self, name: str) -> str:

@@ -23,7 +23,7 @@ from spanloom.llm.tokens import STEP, buffer_of, mix, pieces, word_hashes
 MASKS = ("111011", "110100011", "1001111", "111000101", "110111")  # for stretches of 9 words and more
 SHORT_MASKS = ("11011", "1111", "1100011", "11101", "10111")  # for stretches of 4 words and more
 SHORT = 12  # words; shorter items are sought with the short masks
-LEAST_ITEM = 5  # words; shorter items can't be told from chance
+LEAST_ITEM = 5  # words; shorter items are sought word for word, all words in a row
 LEAST_WORDS = 13  # words that agree in an overlap; this share of the words of shorter items:
 LEAST_SHARE = 0.75  # of the words of an overlap agree
 PART = 1 << 20  # hits, or words along them, that are compared at a time
@@ -55,9 +55,11 @@ class Block:
         self.item_ids = np.array(item_ids, np.int64)
         counts = np.diff(self.first)
         self.least = np.minimum(LEAST_WORDS, np.ceil(LEAST_SHARE * counts)).astype(np.int64)
+        self.least = np.where(counts < LEAST_ITEM, counts, self.least)
         self.tables = []
         long, short = counts >= SHORT, (counts >= LEAST_ITEM) & (counts < SHORT)
-        for mask, item in [(m, long) for m in MASKS] + [(m, short) for m in SHORT_MASKS]:
+        whole = [("1" * n, counts == n) for n in range(1, LEAST_ITEM)]
+        for mask, item in [(m, long) for m in MASKS] + [(m, short) for m in SHORT_MASKS] + whole:
             at, keys = seeds(self.words, self.first, mask)
             used = item[np.searchsorted(self.first, at, "right") - 1]
             at, keys = at[used], keys[used]
@@ -176,8 +178,8 @@ def find_leaks(
     """doc_id, item_id, doc_word, item_word, n_words, n_equal: the best overlap of each pair that leaks.
 
     A pair leaks if along one alignment a stretch has 13 equal words (three quarters of the item's,
-    if that is less) and three quarters of its words are equal; all such pairs are found. Items of under 5 words, null items and null texts never
-    match. A benchmark of any size is taken in blocks of `block_bytes`, each with one narrow scan of
+    if that is less) and three quarters of its words are equal; all such pairs are found. Items of 1
+    to 4 words leak where all of them stand in a row. Null items, items without words and null texts never match. A benchmark of any size is taken in blocks of `block_bytes`, each with one narrow scan of
     the documents and no shuffle. Repeated rows are reported each on their own; empty tables give no
     rows. Other columns are not read.
     """

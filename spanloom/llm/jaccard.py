@@ -30,7 +30,7 @@ FAMILY = 0.5  # similarity to a pivot that makes a member
 BLOCK = 1024  # members that are compared with as many others at a time
 FEW = 50_000  # document ids that are broadcast, instead of a join of all texts
 
-SIGNED = "doc_id bigint, key bigint, n bigint, bands array<bigint>"
+SIGNED = "doc_id bigint, h bigint, key bigint, n bigint, bands array<bigint>"
 COMPARED = "key bigint, pivot bigint, n bigint, n_pivot bigint, shared bigint, difference array<bigint>"
 LINKED = "key bigint, links bigint, root bigint"
 
@@ -66,15 +66,16 @@ def _signed(bands: int, rows: int, shingle: int):
                     for place, i in enumerate(some):
                         keys[i], signed[i] = int(key[place]), code[place]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "n", "bands"],
+                    [part.column("doc_id"), part.column("h"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))],
+                    names=["doc_id", "h", "key", "n", "bands"],
                 )
 
     return run
 
 
 def sign(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key of the shingle set (null: no shingles), its size, and a hash for each band."""
+    """doc_id, hash of the text, key of the shingle set (null: no shingles), its size, and a hash for each band."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     return docs.mapInArrow(_signed(*choose_bands(threshold, recall), shingle), SIGNED)
 
 
@@ -112,12 +113,13 @@ def _compared(shingle: int):
 def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame, steps: Steps, shingle: int, name: str) -> DataFrame:
     """Exact comparison of `pairs` (key, pivot) on the full sets of their documents.
 
+    A document is told by its id and the hash of its text, as an id may come with several texts.
     The rows of a pivot are dealt to salted groups of about BLOCK, each with the pivot's text; so
     no task depends on how many share a pivot. Texts are read with a join on ids, after a filter
     on broadcast ids if these are few.
     """
-    docs = docs.select(F.col("doc_id").alias("doc"), "text")
-    ids = classes.select("key", "doc")
+    docs = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), "text")
+    ids = classes.select("key", "doc", "h")
     pairs = steps.write(pairs, f"{name}-pairs")
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
     members = pairs.join(salts, "pivot").select("key", "pivot", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
@@ -126,9 +128,9 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame, steps: Steps,
     few = wanted.select("doc").distinct()
     if few.limit(FEW + 1).count() <= FEW:
         docs = docs.join(F.broadcast(few), "doc", "left_semi")
-        rows = docs.join(wanted, "doc")
+        rows = docs.join(wanted, ["doc", "h"])
     else:
-        rows = docs.join(wanted.hint("merge"), "doc")
+        rows = docs.join(wanted.hint("merge"), ["doc", "h"])
     n = shuffle_partitions(docs.sparkSession)
     dealt = rows.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("key") != F.col("pivot"), "key")
     return steps.write(dealt.select("pivot", "salt", "key", "text").mapInArrow(_compared(shingle), COMPARED), name)
@@ -232,44 +234,34 @@ def cross_pairs(stars: DataFrame, buckets: DataFrame, families: DataFrame, thres
     """
     near = stars.select("key", "pivot", "n", (F.col("shared") / (F.col("n") + F.col("n_pivot") - F.col("shared"))).alias("near"))
     placed = buckets.join(families.select("key", "family"), "key")
-    mixed = placed.groupBy("h").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high").select("h")
-    rows = placed.join(mixed, "h").join(near, ["key", "pivot"])
+    mixed = placed.groupBy("band").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high").select("band")
+    rows = placed.join(mixed, "band").join(near, ["key", "pivot"])
     a, b = rows.alias("a"), rows.alias("b")
     apart = F.abs(F.col("a.near") - F.col("b.near")) > 1 - threshold + 1e-9
     uneven = F.least("a.n", "b.n") < threshold * F.greatest("a.n", "b.n") - 1e-9
     may = (F.col("a.key") < F.col("b.key")) & (F.col("a.family") != F.col("b.family")) & ~apart & ~uneven
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & may).select(
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & may).select(
         F.col("a.key").alias("key"), F.col("b.key").alias("pivot")
     ).distinct()
 
 
-def similarity_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-    recall: float = RECALL, shingle: int = SHINGLE,
-) -> DataFrame:
-    """doc_id, class_id, n_links, n_shingles: one row per document.
+def classified(rows: DataFrame, threshold: float, recall: float, shingle: int) -> DataFrame:
+    """doc_id, h, first, n_links, n for each row of doc_id and text, h being the hash of the text.
 
-    `n_links` counts the other documents whose shingle sets have a Jaccard similarity of at least
-    `threshold`, equal ones included; `class_id` is the smallest doc_id that links lead to. Nothing
-    is capped. Null and empty texts have no shingles and link to nothing; a text without words
-    equals only the same text; one of fewer words than a shingle has one shingle. A null doc_id
-    stands alone with a null class. Rows that repeat an id count as documents. An empty table gives
-    no rows; other columns are not read. Equal sets are told by 64-bit hashes of whole sets.
+    `first` has the smallest doc and h of the row's class; it is null for rows without shingles or id.
     """
-    spark = docs.sparkSession
-    steps = Steps(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    steps = Steps(rows.sparkSession)
     signed = steps.write(sign(rows, threshold, recall, shingle), "signed")
     known = signed.filter("key is not null and doc_id is not null")
     classes = steps.write(
         known.groupBy("key").agg(
-            F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
-        ), "classes",
+            F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        ).select("key", F.col("first.doc_id").alias("doc"), "first.h", "copies", "n", "bands"), "classes",
     )
-    banded = classes.select("key", "doc", F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.min(F.struct("doc", "key")).alias("p"), F.count("*").alias("size"))
+    banded = classes.select("key", "doc", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("doc", "key")).alias("p"), F.count("*").alias("size"))
     buckets = steps.write(
-        banded.select("key", "h").join(shared.filter("size > 1").select("h", F.col("p.key").alias("pivot")), "h"), "buckets"
+        banded.select("key", "band").join(shared.filter("size > 1").select("band", F.col("p.key").alias("pivot")), "band"), "buckets"
     )
     stars = compare(rows, buckets.filter("key <> pivot").select("key", "pivot").distinct(), classes, steps, shingle, "stars")
 
@@ -303,25 +295,56 @@ def similarity_classes(
         .groupBy("key").agg(F.sum("links").alias("links"))
     )
     roots = components(inside.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(over), steps)
-    named = roots.join(classes.select(F.col("key").alias("node"), "doc"), "node")
-    smallest = named.groupBy("root").agg(F.min("doc").alias("class_id"))
+    own = F.struct("doc", "h")
+    named = roots.join(classes.select(F.col("key").alias("node"), own.alias("own")), "node")
+    smallest = named.groupBy("root").agg(F.min("own").alias("first"))
     answer = (
-        classes.select("key", "doc", "copies").join(counts, "key", "left")
-        .join(named.join(smallest, "root").select(F.col("node").alias("key"), "class_id"), "key", "left")
-        .select("key", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        classes.select("key", own.alias("own"), "copies").join(counts, "key", "left")
+        .join(named.join(smallest, "root").select(F.col("node").alias("key"), "first"), "key", "left")
+        .select("key", F.coalesce("first", "own").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     return signed.join(answer, "key", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
-        F.col("n").alias("n_shingles"),
+        "doc_id", "h", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"), "n_links", "n"
+    )
+
+
+def similarity_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    recall: float = RECALL, shingle: int = SHINGLE,
+) -> DataFrame:
+    """doc_id, class_id, n_links, n_shingles: one row per document.
+
+    `n_links` counts the other documents whose shingle sets have a Jaccard similarity of at least
+    `threshold`, equal ones included; `class_id` is the smallest doc_id that links lead to. Nothing
+    is capped. Null and empty texts have no shingles and link to nothing; a text without words
+    equals only the same text; one of fewer words than a shingle has one shingle. A null doc_id
+    stands alone with a null class. Rows that repeat an id count as documents. An empty table gives
+    no rows; other columns are not read. Equal sets are told by 64-bit hashes of whole sets.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = F.col("doc_id").isNotNull()
+    return classified(rows, threshold, recall, shingle).select(
+        "doc_id", F.when(known, F.coalesce("first.doc", "doc_id")).alias("class_id"),
+        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.col("n").alias("n_shingles"),
     )
 
 
-def drop_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with all columns.
+def drop_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each class, with all columns: that with the smallest doc_id, then hash of the text.
 
-    Rows with a null doc_id stay. Rows that repeat an id stay or go together.
+    Rows with a null doc_id stay, and so do rows without shingles, but of rows that repeat both id and
+    text one stays. An id may come with several texts: each is judged by itself.
     """
-    found = similarity_classes(docs, threshold=threshold)
-    gone = found.filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = classified(rows, threshold, recall, shingle).filter("doc_id is not null")
+    counted = found.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count("*").alias("rows"))
+    stays = F.col("first").isNull() | (F.col("first") == F.struct(F.col("doc_id").alias("doc"), "h"))
+    told = Steps(docs.sparkSession).write(counted.select("doc_id", "h", "rows", stays.alias("stays")).filter("rows > 1 or not stays"), "told")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    all_rows = docs.select(kept, F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    once = all_rows.join(told.select("doc_id", "h"), ["doc_id", "h"], "left_anti").select("kept")
+    if told.filter("stays").isEmpty():
+        return once.select("kept.*")
+    repeated = all_rows.join(told.filter("stays").select("doc_id", "h"), ["doc_id", "h"], "left_semi")
+    repeated = repeated.groupBy("doc_id", "h").agg(F.first("kept").alias("kept")).select("kept")
+    return once.unionByName(repeated).select("kept.*")

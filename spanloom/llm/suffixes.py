@@ -105,29 +105,37 @@ def joined(doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return doc[first], place[first], reach[until] - shift[first] - position[first]
 
 
+def _first_entries(found: list[tuple[np.ndarray, ...]], ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    """Entries, less those that a smaller one among them makes a repeat."""
+    start, run, text, position, n = (np.concatenate(c) for c in zip(*found))
+    doc, place = ids[text], (tags[text] << TAG) + position
+    order = np.lexsort((place, doc, run, start))
+    start, run, doc, place, n = (c[order] for c in (start, run, doc, place, n))
+    new = _changes(start, run)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    again = ~new & ((doc != doc[first]) | (place != place[first]))
+    r_doc, r_place, r_n = joined(doc[again], place[again], n[again])
+    zero = np.zeros(len(r_doc), np.int64)
+    kind = np.concatenate([np.zeros(len(r_doc), np.int32), np.ones(new.sum(), np.int32)])
+    return _batch([
+        kind, np.concatenate([r_doc * 31 + r_place, start[new]]), np.concatenate([zero, run[new]]),
+        np.concatenate([r_doc, doc[new]]), np.concatenate([r_place, place[new]]), np.concatenate([r_n, n[new]]),
+    ], [c.split()[0] for c in ENTRY.split(", ")])
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries, less those that a smaller one of the same batch makes a repeat."""
-    names = [c.split()[0] for c in ENTRY.split(", ")]
+    """Entries of texts; of equal ones among up to about HELD the first."""
     for batch in batches:
-        ids = batch.column("doc").to_numpy()
-        tags = batch.column("tag").to_numpy()
-        found = list(entries_of(*buffer_of(batch.column("text"))))
-        if not found:
-            continue
-        start, run, text, position, n = (np.concatenate(c) for c in zip(*found))
-        doc, place = ids[text], (tags[text] << TAG) + position
-        order = np.lexsort((place, doc, run, start))
-        start, run, doc, place, n = (c[order] for c in (start, run, doc, place, n))
-        new = _changes(start, run)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        again = ~new & ((doc != doc[first]) | (place != place[first]))
-        r_doc, r_place, r_n = joined(doc[again], place[again], n[again])
-        zero = np.zeros(len(r_doc), np.int64)
-        kind = np.concatenate([np.zeros(len(r_doc), np.int32), np.ones(new.sum(), np.int32)])
-        yield _batch([
-            kind, np.concatenate([r_doc * 31 + r_place, start[new]]), np.concatenate([zero, run[new]]),
-            np.concatenate([r_doc, doc[new]]), np.concatenate([r_place, place[new]]), np.concatenate([r_n, n[new]]),
-        ], names)
+        ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+        found, size = [], 0
+        for part in entries_of(*buffer_of(batch.column("text"))):
+            found.append(part)
+            size += len(part[0])
+            if size > HELD:
+                yield _first_entries(found, ids, tags)
+                found, size = [], 0
+        if found:
+            yield _first_entries(found, ids, tags)
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,41 +203,49 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
+def _probed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """start, gram, fresh, doc, place of the windows of probes, a bounded part of the texts at a time."""
+    data, offsets = buffer_of(batch.column("text"))
+    docs, tags, news = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "fresh"))
+    probes = batch.column("probes")
+    rows = probes.flatten()
+    starts, places, ns = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "place", "n"))
+    text = np.repeat(np.arange(len(probes)), np.diff(probes.offsets.to_numpy()))
+    at = offsets[text] + places - (tags[text] << TAG)  # in the data
+    order = np.argsort(at, kind="stable")
+    for begin in range(0, len(data), PIECE):
+        low, high = np.searchsorted(at[order], [begin, begin + PIECE])
+        own = order[low:high]
+        if not len(own):
+            continue
+        n = ns[own]
+        end = int((at[own] + n).max()) + WINDOW - 1
+        spans = Spans(data[begin:end], RAW)
+        which = own[np.repeat(np.arange(len(own)), n)]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        position = at[which] + step - begin
+        gram = spans.hash(position, position + WINDOW).view(np.int64)
+        yield starts[which], gram, news[text[which]], docs[text[which]], places[which] + step
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each window of the probes of some documents."""
+    """The hash of each window of the probes of some documents; of equal ones in a part the first."""
     names = [c.split()[0] for c in GRAM.split(", ")]
     for batch in batches:
-        data, offsets = buffer_of(batch.column("text"))
-        docs, tags, news = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "fresh"))
-        probes = batch.column("probes")
-        found = []
-        low = 0
-        for low, high in pieces(offsets):
-            spans = Spans(data[offsets[low] : offsets[high]], RAW)
-            part = probes.slice(low, high - low)
-            rows = part.flatten()
-            text = low + np.repeat(np.arange(high - low), np.diff(part.offsets.to_numpy()))
-            start, place, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "place", "n"))
-            which = np.repeat(np.arange(len(n)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            position = (place - (tags[text] << TAG))[which] + (offsets[text] - offsets[low])[which] + step
-            found.append((start[which], spans.hash(position, position + WINDOW).view(np.int64), news[text][which], docs[text][which], place[which] + step))
-        if not found:
-            continue
-        start, gram, fresh, doc, place = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((place, doc, fresh, gram, start))
-        start, gram, fresh, doc, place = (c[order] for c in (start, gram, fresh, doc, place))
-        new = _changes(start, gram)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        again = ~new & fresh & ((doc != doc[first]) | (place != place[first]))
-        r_doc, r_place, r_n = joined(doc[again], place[again], np.ones(again.sum(), np.int64))
-        zero = np.zeros(len(r_doc), np.int64)
-        yield _batch([
-            np.concatenate([np.zeros(len(r_doc), np.int32), np.ones(new.sum(), np.int32)]),
-            np.concatenate([r_doc * 31 + r_place, start[new]]), np.concatenate([zero, gram[new]]),
-            np.concatenate([np.ones(len(r_doc), bool), fresh[new]]), np.concatenate([r_doc, doc[new]]),
-            np.concatenate([r_place, place[new]]), np.concatenate([r_n, np.ones(new.sum(), np.int64)]),
-        ], names)
+        for start, gram, fresh, doc, place in _probed(batch):
+            order = np.lexsort((place, doc, fresh, gram, start))
+            start, gram, fresh, doc, place = (c[order] for c in (start, gram, fresh, doc, place))
+            new = _changes(start, gram)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            again = ~new & fresh & ((doc != doc[first]) | (place != place[first]))
+            r_doc, r_place, r_n = joined(doc[again], place[again], np.ones(again.sum(), np.int64))
+            zero = np.zeros(len(r_doc), np.int64)
+            yield _batch([
+                np.concatenate([np.zeros(len(r_doc), np.int32), np.ones(new.sum(), np.int32)]),
+                np.concatenate([r_doc * 31 + r_place, start[new]]), np.concatenate([zero, gram[new]]),
+                np.concatenate([np.ones(len(r_doc), bool), fresh[new]]), np.concatenate([r_doc, doc[new]]),
+                np.concatenate([r_place, place[new]]), np.concatenate([r_n, np.ones(new.sum(), np.int64)]),
+            ], names)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,25 +353,35 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return index.repeats(docs)
 
 
+def _removed(size: int, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which of a text's bytes the windows of repeats cover, and in how many stretches."""
+    _, begin, n = joined(np.zeros(len(begin), np.int64), begin, n + WINDOW - 1)
+    edge = np.zeros(size + 1, np.int8)  # stretches are apart, so a byte is covered once at most
+    edge[begin] += 1
+    edge[begin + n] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool), len(begin)
+
+
 def _cut(as_text: bool):
     """Texts without the bytes of repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
+            repeats = batch.column("repeats")
+            rows = repeats.flatten()
+            place, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("place", "n"))
+            last = np.cumsum(repeats.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             removed, spans, kept = [], [], []
-            for i, (repeats, tag) in enumerate(zip(batch.column("repeats").to_pylist(), batch.column("tag").to_pylist())):
-                text, gone = data[offsets[i] : offsets[i + 1]], None
-                if repeats:
-                    edge = np.zeros(len(text) + 1, np.int64)
-                    for r in repeats:
-                        begin = r["place"] - (tag << TAG)
-                        edge[begin] += 1
-                        edge[begin + r["n"] + WINDOW - 1] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                removed.append(0 if gone is None else int(gone.sum()))
-                spans.append(0 if gone is None else int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                rest = (text if gone is None else text[~gone]).tobytes()
+            for i, tag in enumerate(batch.column("tag").to_pylist()):
+                text = data[offsets[i] : offsets[i + 1]]
+                own = slice(last[i - 1] if i else 0, last[i])
+                gone, stretches = np.zeros(0, bool), 0
+                if own.start < own.stop:
+                    gone, stretches = _removed(len(text), place[own] - (tag << TAG), n[own])
+                removed.append(int(gone.sum()))
+                spans.append(stretches)
+                rest = (text[~gone] if stretches else text).tobytes()
                 kept.append(rest.decode(errors="ignore") if as_text else rest)
             counts = [pa.array(c, pa.int64()) for c in (np.diff(offsets), removed, spans)]
             yield pa.RecordBatch.from_arrays(

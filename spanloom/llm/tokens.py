@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
-PIECE = 1 << 20  # bytes of texts that are hashed at a time
+PIECE = 1 << 18  # bytes of texts that are hashed at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,21 +36,25 @@ WORD = (BYTES >= 128) | ((BYTES >= 48) & (BYTES < 58)) | ((BYTES | 32) >= 97) &
 RAW = numbers(256, 1)  # a value for each byte
 FOLDED = RAW[np.where((BYTES >= 65) & (BYTES < 91), BYTES + 32, BYTES)]
 STEP = numbers(64, 2)  # a factor for each place in a shingle
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_powers: tuple[np.ndarray, ...] = ()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64, for i from 0 to n - 1 at least."""
+def powers(n: int) -> tuple[np.ndarray, ...]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64, for i from 0 to n - 1 at least.
+
+    Those for a piece are kept; more of them only live as long as they are used.
+    """
     global _powers
-    if len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
-        both = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            both.append(np.cumprod(run))
+    if _powers and n <= len(_powers[0]):
+        return _powers
+    both = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        run = np.full(max(n, PIECE + 1024), base, np.uint64)
+        run[0] = 1
+        both.append(np.cumprod(run))
+    if n <= PIECE + 1024:
         _powers = tuple(both)
-    return _powers
+    return tuple(both)
 
 
 class Spans:
@@ -102,10 +106,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.flatnonzero(after) + 1, np.searchsorted(start, offsets)
 
 
+def word_parts(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts in parts of at most about `most` bytes, cut between words: the number of the first text
+    of a part, its bytes, and the offsets of its texts in them. Only a word can make a part longer."""
+    most = most or 2 * PIECE
+    begin = 0
+    while True:
+        end = begin + most
+        if end >= len(data):
+            end = len(data)
+        else:
+            while end < len(data):
+                gap = np.flatnonzero(~WORD[data[end : end + 4096]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + 4096, len(data))
+        low = max(0, int(np.searchsorted(offsets, begin, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, end, "left")))
+        high = len(offsets) - 1 if end == len(data) else high
+        yield low, data[begin:end], np.clip(offsets[low : high + 1], begin, end) - begin
+        if end == len(data):
+            return
+        begin = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and for each text its first word (n + 1 numbers)."""
-    start, end, first = word_spans(data, offsets)
-    return Spans(data, FOLDED).hash(start, end), first
+    hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    for low, part, inner in word_parts(data, offsets):
+        start, end, first = word_spans(part, inner)
+        hashes.append(Spans(part, FOLDED).hash(start, end))
+        counts[low : low + len(inner) - 1] += np.diff(first)
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(counts)])
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

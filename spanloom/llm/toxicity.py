@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.common import Steps
-from spanloom.llm.tokens import FOLDED, STEP, Spans, buffer_of, pieces, shingle_hashes, word_spans
+from spanloom.llm.tokens import FOLDED, STEP, Spans, buffer_of, pieces, shingle_hashes, word_parts, word_spans
 
 SAMPLE_ROWS = 16_000  # most labelled documents that the model is fitted on, half of them toxic
 VOCABULARY = 4096  # most words
@@ -51,13 +51,15 @@ class Model:
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, word and value of each feature that is not 0."""
-        hashes, text, _, _ = features_of(data, offsets)
-        known = np.zeros(1 << 16, bool)
+        known, found = np.zeros(1 << 16, bool), []
         known[(self.words & np.uint64(0xFFFF)).astype(int)] = True
-        at = np.flatnonzero(known[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        place = np.searchsorted(self.words, hashes[at])
-        hit = self.words[np.minimum(place, len(self.words) - 1)] == hashes[at]
-        keys, counts = np.unique(text[at[hit]] * len(self.words) + place[hit], return_counts=True)
+        for low, part, inner in word_parts(data, offsets):
+            hashes, text, _, _ = features_of(part, inner)
+            at = np.flatnonzero(known[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+            place = np.searchsorted(self.words, hashes[at])
+            hit = self.words[np.minimum(place, len(self.words) - 1)] == hashes[at]
+            found.append((low + text[at[hit]]) * len(self.words) + place[hit])
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
         return keys // len(self.words), keys % len(self.words), np.log2(1.0 + counts)
 
     def chances(self, column: pa.Array) -> np.ndarray:
