@@ -75,6 +75,12 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is in the store that its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut_lineage(df: DataFrame, path: str) -> DataFrame:
     """Write a step of an iterative job as a table and go on from the table.
 
