@@ -75,10 +75,21 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is in the store that its path names."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    store, where = _store(spark, path)
+    return store.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    store, where = _store(spark, path)
+    store.delete(where, True)
 
 
 def cut_lineage(df: DataFrame, path: str) -> DataFrame:
