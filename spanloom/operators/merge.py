@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from spanloom.functions.normalise import last_wins_map
 from spanloom.schema import TIMINGS, TRACE
 
+FEW_REPORTS = 64  # of a span, that may be one list
+BROADCAST_IDS = 50_000  # of spans with more reports
+
 # What a merged span carries, beside its keys.
 MERGED_COLUMNS = [
     "parent_id", "name", "service", "start_ns", "duration_ns", *TIMINGS, "tags",
@@ -36,6 +39,29 @@ def merge_spans(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
     The first report is the base: its start, duration and timings stay. Parent, name,
     service and tags are filled from later ones, and replaced by later server reports.
 
+    Reports are counted per span first, on ids alone, combined before their shuffle. Spans with few
+    reports are folded as bounded lists, after one shuffle and without a row per tag; a span with one
+    report only passes through. Spans with more are folded by `combine_reports`. Both ways are exact.
+    The ids of spans with many reports are broadcast if they are at most `BROADCAST_IDS`, so that
+    a hot span is combined before any shuffle; beyond that they are joined.
+    """
+    df = _with_counts(df)
+    ids = [*keys, "span_id"]
+    many = df.groupBy(*ids).agg(F.count("*").alias("n")).filter(F.col("n") > FEW_REPORTS).select(*ids)
+    known = many.limit(BROADCAST_IDS + 1).collect()
+    if not known:
+        return fold_lists(df, keys)
+    if len(known) <= BROADCAST_IDS:
+        many = F.broadcast(df.sparkSession.createDataFrame(known, many.schema))
+    else:
+        many = many.hint("shuffle_hash")
+    few = fold_lists(df.join(many, ids, "left_anti"), keys)
+    return few.unionByName(combine_reports(df.join(many, ids, "left_semi"), keys))
+
+
+def combine_reports(df: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
+    """The same as merge_spans for spans with very many reports.
+
     Every field of the fold is the first or the last qualifying value in arrival order, so
     all of it is min_by/max_by, which combine before the shuffle: a span reported a billion
     times is one row per map task afterwards. Tags fold per key, so a report becomes one row

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.merge import fold_lists, merge_spans, valid_spans
+from spanloom.operators.merge import combine_reports, fold_lists, valid_spans
 from spanloom.operators.output import convert
 from spanloom.operators.sessions import closed_spans, session_outcomes
 from spanloom.operators.traces import collect_traces, finish_traces, judge_traces
@@ -33,7 +33,7 @@ def assemble_traces(
     # closed_us belongs to the trace, so it may be a key as well and comes along for free.
     keys = [*TRACE, "closed_us"]
     together = fold_lists(few.repartition(*[F.col(c) for c in TRACE]), keys)
-    traces = collect_traces(together).unionByName(collect_traces(merge_spans(many, keys)))
+    traces = collect_traces(together).unionByName(collect_traces(combine_reports(many, keys)))
     return judge_traces(traces)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import merge as M
 from tests.spans import EPOCH, fold_in_order, frame, report
 
-FOLDS = [M.merge_spans, M.fold_lists]
+FOLDS = [M.merge_spans, M.fold_lists, M.combine_reports]
 FIELDS = ["parent_id", "name", "service", "start_ns", "duration_ns", "cs", "cr", "ss", "sr", "tags"]
 
 
@@ -67,3 +67,22 @@ def test_merged_spans_merge_on_with_later_reports(spark):
     both = M.merge_spans(df.filter(early)).select(*columns).unionByName(later.select(*columns))
     by_trace = lambda d: sorted(d.collect(), key=lambda r: r.trace_id)
     assert by_trace(M.merge_spans(both)) == by_trace(M.merge_spans(df))
+
+
+@pytest.mark.parametrize("few, ids", [(1, 50_000), (2, 50_000), (2, 3)])
+def test_spans_with_many_reports_are_combined(spark, monkeypatch, few, ids):
+    """Both folds in one result, with ids of spans with many reports broadcast and joined."""
+    monkeypatch.setattr(M, "FEW_REPORTS", few)
+    monkeypatch.setattr(M, "BROADCAST_IDS", ids)
+    df = frame(spark, random_reports(random.Random(7), 80), session_no=1)
+    by_trace = lambda d: sorted(d.collect(), key=lambda r: r.trace_id)
+    merged = M.merge_spans(df)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (ids == 50_000) and "ShuffledHashJoin" not in plan or ids == 3
+    assert by_trace(merged) == by_trace(M.combine_reports(df))
+
+
+def test_no_sort_of_rows_by_tag(spark):
+    """Without a span with many reports there is one shuffle and no row per tag."""
+    plan = M.merge_spans(frame(spark, random_reports(random.Random(8), 20), session_no=1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
