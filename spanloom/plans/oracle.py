@@ -382,6 +382,11 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (WHERE NOT spoilt) * any_value(per) AS spans
         FROM p CROSS JOIN (VALUES ('json-v1', 2), ('json-v2', 1), ('jaeger', 2)) t(protocol, per)
         GROUP BY protocol""",
+    **{name: f"""WITH {PAYLOAD}
+        SELECT received_at - received_at % {width} AS window_us, protocol, count(*) AS payloads,
+          count(*) FILTER (WHERE spoilt) AS rejects, count(*) FILTER (WHERE NOT spoilt) * any_value(per) AS spans
+        FROM p CROSS JOIN (VALUES ('json-v1', 2), ('json-v2', 1), ('jaeger', 2)) t(protocol, per)
+        GROUP BY 1, 2""" for name, width in (("ingest_by_hour", 3_600_000_000), ("ingest_stream_counts", 60_000_000))},
     "id_text": f"""WITH i AS (
           SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 123457 ELSE -o_orderkey * 9871 END AS id
           FROM orders),
@@ -511,6 +516,29 @@ ORACLE: dict[str, str] = {
     "outcome_metrics": f"""WITH {OUTCOMES}
         SELECT coalesce(status, 'all') AS status, count(*) AS traces,
           CAST(sum(node_count) AS BIGINT) AS spans FROM outcomes GROUP BY ROLLUP (status)""",
+    "outcomes_by_minute": f"""WITH {OUTCOMES}, placed AS (
+          SELECT closed_us - closed_us % 60000000 AS window_us, status, node_count FROM outcomes)
+        SELECT coalesce(window_us, -1) AS window_us, coalesce(status, 'all') AS status, count(*) AS traces,
+          CAST(sum(node_count) AS BIGINT) AS spans FROM placed GROUP BY ROLLUP (window_us, status)""",
+    "exact_batches": f"""WITH RECURSIVE {OUTCOMES}, placed AS (
+          SELECT trace_id % 3 AS shard, closed_us, node_count, row_number() OVER (
+            PARTITION BY trace_id % 3 ORDER BY closed_us, trace_id, session_no) AS n
+          FROM outcomes WHERE status = 'finished'),
+        walk AS (
+          SELECT shard, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS flushed_us,
+            CAST(0 AS BIGINT) AS at_us, CAST(0 AS BIGINT) AS batch FROM placed WHERE n = 1
+          UNION ALL
+          SELECT shard, n,
+            CASE WHEN total >= 10 THEN 0 ELSE total END, CASE WHEN total >= 10 THEN closed_us WHEN due THEN tick_us ELSE flushed_us END,
+            closed_us, batch + CAST(due AS BIGINT) + CAST(was_full AS BIGINT)
+          FROM (
+            SELECT *, CAST(CASE WHEN due THEN 0 ELSE held END + node_count AS BIGINT) AS total FROM (
+              SELECT w.shard, p.n, w.held, w.flushed_us, w.batch, p.closed_us, p.node_count, w.held = 0 AND w.n > 0 AS was_full,
+                (greatest(w.at_us, w.flushed_us + 2332800000000) + 2591999999999) // 2592000000000 * 2592000000000 AS tick_us,
+                w.held > 0 AND (greatest(w.at_us, w.flushed_us + 2332800000000) + 2591999999999) // 2592000000000 * 2592000000000 < p.closed_us AS due
+              FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n + 1)))
+        SELECT w.shard, count(*) AS traces, CAST(sum(node_count) AS BIGINT) AS spans, min(closed_us) AS first_us, max(closed_us) AS last_us
+        FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n GROUP BY w.shard, w.batch""",
     "size_distribution": f"""WITH {JUDGED}
         SELECT count(*) AS traces, min(node_count) AS smallest, max(node_count) AS largest,
           CAST(sum(node_count) AS DOUBLE) / count(*) AS mean,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import numbers as X
 from spanloom.functions.clocks import skew
-from spanloom.operators import load, merge, metrics, output, sessions, tree
+from spanloom.operators import load, merge, metrics, output, sessions, sinks, tree
 from spanloom.operators.timings import correct_timings
 from spanloom.operators.traces import bounded, collect_traces, correct_traces, judge_traces
 from spanloom.plans import assemble
@@ -96,6 +96,16 @@ def ingest_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.ingest_metrics(payloads.gate(raw), payloads.ingest(raw))
 
 
+def ingest_by_hour(spark: SparkSession, sf: str) -> DataFrame:
+    raw = tables.raw_payloads(spark, sf)
+    return metrics.ingest_over_time(payloads.gate(raw), payloads.ingest(raw), "1 hour")
+
+
+def ingest_stream_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same per minute, by a stream with a watermark."""
+    return replay.replay_ingest_counts(tables.raw_payloads(spark, sf), work_dir(spark), 2, "1 minute", "1 day")
+
+
 def id_text(spark: SparkSession, sf: str) -> DataFrame:
     """Ids to hex text and back, both signs."""
     key = F.col("o_orderkey")
@@ -289,6 +299,14 @@ def sink_batches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def exact_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches as a sink flushes them that counts anew after each flush, with a timer of 30 days."""
+    placed = sinks.flush_batches(_finished(spark, sf), work_dir(spark), 3, 10, 30 * 86_400)
+    return placed.groupBy("shard", "batch_tick", "batch_pos").agg(
+        F.count("*").alias("traces"), F.sum("node_count").alias("spans"), F.min("closed_us").alias("first_us"), F.max("closed_us").alias("last_us")
+    ).drop("batch_tick", "batch_pos")
+
+
 def trace_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of a trace together, per day of closing."""
     spans = assemble.correct_spans(tables.span_reports(spark, sf), REPORT_GAP_US)
@@ -322,6 +340,11 @@ def outcome_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return totals.withColumn("status", F.coalesce("status", F.lit("all")))
 
 
+def outcomes_by_minute(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = assemble.trace_outcomes(tables.span_reports(spark, sf), REPORT_GAP_US)
+    return metrics.outcomes_over_time(outcomes, 60_000_000)
+
+
 def size_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.size_distribution(sessions.session_sizes(valid_arrivals(spark, sf), ARRIVAL_GAP_US))
 
@@ -428,6 +451,7 @@ QUERIES: dict[str, Query] = {
         trace_verdicts, trace_outline, corrected_spans, convert_hook, agent_spans, sink_batches,
         trace_batches, recent_spans, span_json, trace_outcomes, outcome_metrics,
         size_distribution, span_metrics, payload_size, sharded_exchange, topic_records,
+        ingest_by_hour, ingest_stream_counts, outcomes_by_minute, exact_batches,
         keyed_stream, tick_stream, tick_gauges, compressed_payloads, fan_out, payload_stream,
     )
 }

@@ -92,6 +92,13 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder; in a file system this is one step."""
+    store, where = _store(spark, path)
+    if not store.rename(where, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def cut_lineage(df: DataFrame, path: str) -> DataFrame:
     """Write a step of an iterative job as a table and go on from the table.
 
