@@ -539,6 +539,9 @@ ORACLE: dict[str, str] = {
               FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n + 1)))
         SELECT w.shard, count(*) AS traces, CAST(sum(node_count) AS BIGINT) AS spans, min(closed_us) AS first_us, max(closed_us) AS last_us
         FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n GROUP BY w.shard, w.batch""",
+    "exchange_readers": f"""WITH {LINES}
+        SELECT reader, (trace_id % 7 + 7) % 7 AS trace_mod, count(*) AS reports, CAST(sum(span_id) AS BIGINT) AS span_ids
+        FROM reports CROSS JOIN (VALUES ('fast'), ('slow')) t(reader) GROUP BY 1, 2""",
     "size_distribution": f"""WITH {JUDGED}
         SELECT count(*) AS traces, min(node_count) AS smallest, max(node_count) AS largest,
           CAST(sum(node_count) AS DOUBLE) / count(*) AS mean,

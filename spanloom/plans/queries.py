@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -366,6 +367,26 @@ def sharded_exchange(spark: SparkSession, sf: str) -> DataFrame:
     return flat(sharded.read_sharded(spark, path).drop("shard"))
 
 
+def exchange_readers(spark: SparkSession, sf: str) -> DataFrame:
+    """All reports appended in three slices of arrival, read by two readers at their own pace with
+    sweeps in between: what each has got in all, per shard."""
+    exchange, reports = sharded.Exchange(spark, f"{work_dir(spark)}/exchange"), tables.span_reports(spark, sf)
+    got, step = [], 0
+    exchange.store("slow", 0)  # holds back the sweeps from the start
+    for slow, part in zip((False, True, True), replay.slices(reports, 3)):
+        exchange.append(part)
+        for reader in ("fast", "slow") if slow else ("fast",):
+            spans, at = exchange.poll(reader)
+            step += 1
+            got.append(cut_lineage(spans.withColumn("reader", F.lit(reader)), f"{exchange.path}/_got/{step}"))
+            exchange.store(reader, at)
+        exchange.sweep(9_000_000_000_000_000)
+    both = reduce(DataFrame.unionByName, got)
+    return both.groupBy("reader", F.pmod("trace_id", F.lit(7)).alias("trace_mod")).agg(
+        F.count("*").alias("reports"), F.sum("span_id").alias("span_ids")
+    )
+
+
 def topic_records(spark: SparkSession, sf: str) -> DataFrame:
     """All reports as keyed records and back."""
     records = sharded.to_topic_records(tables.span_reports(spark, sf))
@@ -452,6 +473,7 @@ QUERIES: dict[str, Query] = {
         trace_batches, recent_spans, span_json, trace_outcomes, outcome_metrics,
         size_distribution, span_metrics, payload_size, sharded_exchange, topic_records,
         ingest_by_hour, ingest_stream_counts, outcomes_by_minute, exact_batches,
+        exchange_readers,
         keyed_stream, tick_stream, tick_gauges, compressed_payloads, fan_out, payload_stream,
     )
 }

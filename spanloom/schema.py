@@ -86,6 +86,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; a missing folder holds nothing."""
+    store, where = _store(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     store, where = _store(spark, path)
