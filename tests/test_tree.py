@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,33 @@ def test_too_large_traces_are_not_collected(spark):
     df = merged_frame(spark, [report(1, i + 1, 1) for i in range(6)] + [report(2, i + 1, 1) for i in range(5)])
     assert [r.trace_id for r in bounded(df, 5).select("trace_id").distinct().collect()] == [2]
     assert bounded(df, 6).count() == 11
+
+
+@pytest.mark.parametrize("size", [2, 3, 64, 65, 127, 128, 129, 1000])
+def test_long_traces_find_parents_as_joins_do(spark, size):
+    """Around the size from which on ids are sorted, with parents that are the least, the greatest and missing."""
+    rng = random.Random(size)
+    names = [rng.getrandbits(63) - 2**62 for _ in range(size)]
+    rows = [report(5, names[0], 0)] + [report(5, s, rng.choice(names[: i + 1])) for i, s in enumerate(names[1:])]
+    rows += [report(6, s, rng.choice([min(names), max(names), 2**62 + 1])) for s in names]
+    df = merged_frame(spark, rows)
+    judged = {r.trace_id: r for r in judge_traces(collect_traces(df)).collect()}
+    for trace in judged.values():
+        at = {s.span_id: i + 1 for i, s in enumerate(trace.tree)}
+        want = [0 if s.parent_id == s.span_id else at.get(s.parent_id, 0) for s in trace.tree]
+        assert trace.ups == want
+        assert trace.status == ("finished" if want.count(0) == 1 else "no_root")
+
+
+def test_largest_traces_take_well_under_a_second(spark):
+    """Spans of largest traces, each below a random earlier one."""
+    i = F.col("id") % 8192
+    base = merged_frame(spark, [report()]).drop("trace_id", "span_id", "parent_id")
+    spans = base.crossJoin(spark.range(24 * 8192).withColumns({
+        "trace_id": F.floor(F.col("id") / 8192) + 1, "span_id": F.xxhash64(i),
+        "parent_id": F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.pmod(F.xxhash64(F.col("id"), F.lit(1)), i))),
+    }).drop("id"))
+    began = time.monotonic()
+    statuses = judge_traces(collect_traces(spans.repartition(8, "trace_id"))).groupBy("status").count().collect()
+    assert [(r.status, r["count"]) for r in statuses] == [("finished", 24)]
+    assert time.monotonic() - began < 24
