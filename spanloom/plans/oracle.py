@@ -342,6 +342,23 @@ RAW_COLUMNS = f"{SPAN}, cs, cr, ss, sr, {TAG_LIST} AS tags, received_at, payload
 HEX = "lpad(printf('%x', {0}), 16, '0')"
 
 
+JSON_SIZE = f"""octet_length(encode('{{"trace_id":"' || {HEX.format('trace_id')} || '","span_id":"'
+    || {HEX.format('span_id')} || '","parent_id":"' || {HEX.format('parent_id')}
+    || '","name":"' || name || '","service":"' || service || '","start_ns":' || start_ns
+    || ',"duration_ns":' || duration_ns || ',"tags":{{'
+    || array_to_string(list_transform(tags, lambda t: '"' || t.k || '":"' || t.v || '"'), ',')
+    || '}}}}'))"""
+BUCKET = "{0} - {0} % (1::BIGINT << greatest(length(bin({0})) - 8, 0)::INT)"
+
+
+def sketched(source: str, key: str, shares: dict[str, str]) -> str:
+    """Quantiles per key of a table (key, value), each value cut to its eight leading bits."""
+    names = ", ".join(f"min(low) FILTER (WHERE place >= ceil(CAST({q} AS DOUBLE) * total)) AS {name}" for name, q in shares.items())
+    return f"""SELECT {key}, count(*) AS n, min(low) AS smallest, max(low) AS largest, {names} FROM (
+          SELECT {key}, {BUCKET.format('value')} AS low, count(*) OVER (PARTITION BY {key}) AS total,
+            row_number() OVER (PARTITION BY {key} ORDER BY value) AS place FROM {source} WHERE value IS NOT NULL) GROUP BY {key}"""
+
+
 def _rfc(ns: str) -> str:
     digits = f"rtrim(lpad(CAST({ns} % 1000000000 AS VARCHAR), 9, '0'), '0')"
     return f"""strftime(make_timestamp({ns} // 1000), '%Y-%m-%dT%H:%M:%S')
@@ -563,14 +580,15 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (WHERE {_BAD} AND NOT late) AS dropped
         FROM placed""",
     "payload_size": f"""WITH {LINES}, sized AS (
-          SELECT octet_length(encode('{{"trace_id":"' || {HEX.format('trace_id')} || '","span_id":"'
-            || {HEX.format('span_id')} || '","parent_id":"' || {HEX.format('parent_id')}
-            || '","name":"' || name || '","service":"' || service || '","start_ns":' || start_ns
-            || ',"duration_ns":' || duration_ns || ',"tags":{{'
-            || array_to_string(list_transform(tags, lambda t: '"' || t.k || '":"' || t.v || '"'), ',')
-            || '}}}}')) AS size FROM reports)
+          SELECT {JSON_SIZE} AS size FROM reports)
         SELECT count(*) AS spans, CAST(min(size) AS INT) AS smallest, CAST(max(size) AS INT) AS largest,
           quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.99) AS p99 FROM sized""",
+    "trace_size_quantiles": f"""WITH {OUTCOMES}, sized AS (SELECT status, node_count AS value FROM outcomes)
+        {sketched('sized', 'status', {'p50': '0.5', 'p75': '0.75', 'p95': '0.95', 'p99': '0.99'})}""",
+    "span_bytes_by_year": f"""WITH {LINES}, sized AS (
+          SELECT CAST(year(received) AS INT) AS year, CAST({JSON_SIZE} AS BIGINT) AS value
+          FROM (SELECT *, make_timestamp(received_at) AS received FROM reports))
+        {sketched('sized', 'year', {'p50': '0.5', 'p95': '0.95', 'p99': '0.99'})}""",
     "sharded_exchange": f"WITH {LINES} SELECT {RAW_COLUMNS} FROM reports",
     "topic_records": f"WITH {LINES} SELECT {RAW_COLUMNS} FROM reports",
     "keyed_stream": f"""WITH {JUDGED}

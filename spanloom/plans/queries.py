@@ -360,6 +360,23 @@ def payload_size(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.payload_size(tables.span_reports(spark, sf))
 
 
+def trace_size_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans per closed trace: sketches per day of closing, added up per status."""
+    outcomes = assemble.trace_outcomes(tables.span_reports(spark, sf), REPORT_GAP_US)
+    by_day = metrics.size_sketch(
+        outcomes.withColumn("day", F.to_date(F.timestamp_micros("closed_us"))), "node_count", "day", "status"
+    )
+    return metrics.sketch_quantiles(metrics.merge_sketches(by_day, "status"), (0.5, 0.75, 0.95, 0.99), "status")
+
+
+def span_bytes_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of spans as JSON text: sketches per day of arrival, added up to years."""
+    sizes = metrics.span_bytes(tables.span_reports(spark, sf))
+    by_day = metrics.size_sketch(sizes.withColumn("day", F.to_date("received_at")), "size", "day")
+    by_year = metrics.merge_sketches(by_day.withColumn("year", F.year("day")), "year")
+    return metrics.sketch_quantiles(by_year, (0.5, 0.95, 0.99), "year")
+
+
 def sharded_exchange(spark: SparkSession, sf: str) -> DataFrame:
     """All reports through the sharded table and back."""
     path = f"{work_dir(spark)}/sharded"
@@ -473,7 +490,7 @@ QUERIES: dict[str, Query] = {
         trace_batches, recent_spans, span_json, trace_outcomes, outcome_metrics,
         size_distribution, span_metrics, payload_size, sharded_exchange, topic_records,
         ingest_by_hour, ingest_stream_counts, outcomes_by_minute, exact_batches,
-        exchange_readers,
+        exchange_readers, trace_size_quantiles, span_bytes_by_year,
         keyed_stream, tick_stream, tick_gauges, compressed_payloads, fan_out, payload_stream,
     )
 }
