@@ -35,28 +35,36 @@ def fold_events(events: DataFrame) -> DataFrame:
     role and text, `delta` appends streamed text, `edit` replaces all text so far, `regenerate`
     starts it anew (deltas follow). Later events count from the last opening, edit or
     regeneration on. A message stands where its first event stands; its role is the first one
-    given. Null text and role are empty, a null kind is a delta; of equal `seq` the texts append
-    in their order, and ties in `position` are broken by role and text. Other columns are not read.
+    given. Null text and role are empty, a null kind is a delta. Rows that are equal in all of these
+    columns are one event that was delivered again. Of openings, edits and regenerations of one `seq`
+    that with the greatest text counts, and deltas of that `seq` follow it; deltas of equal `seq` append
+    in the order of their texts, and ties in `position` are broken by role and text. Other columns are
+    not read. Events without a `seq` come first.
 
     The only shuffle is by (conv_id, message_id): a hot conversation spreads over its messages.
     """
     message = ["conv_id", "message_id"]
+    ordered = F.coalesce("seq", F.lit(-(1 << 62)))  # events without a seq come first
     starts = F.coalesce(F.col("kind").isin("message", "edit", "regenerate"), F.lit(False))
-    live = events.select(*message, "seq", "role", F.coalesce("text", F.lit("")).alias("text"), starts.alias("starts"))
+    live = events.select(
+        *message, "seq", "role", F.coalesce("text", F.lit("")).alias("text"), starts.alias("starts"), "kind", F.col("role").alias("given")
+    )
     over = Window.partitionBy(*message)
     live = live.withColumns({
         "reset": F.max(F.when(F.col("starts"), F.col("seq"))).over(over),
         "position": F.min("seq").over(over),
-        "role": F.min_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).over(over),
+        "role": F.min_by("role", F.when(F.col("role").isNotNull(), F.struct(ordered, "role"))).over(over),
     })
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit(-(1 << 62))).alias("seq"), (~F.col("starts")).alias("later"), "text")))
+    told = F.struct(ordered.alias("seq"), (~F.col("starts")).alias("later"), "text", "kind", "given")
+    parts = F.array_sort(F.collect_set(told))
+    n_starts = F.size(F.filter("parts", lambda p: ~p["later"]))
+    text = F.transform(F.slice("parts", F.greatest(n_starts, F.lit(1)), F.size("parts")), lambda p: p["text"])
     return (
         live.filter("reset is null or seq >= reset")
         .groupBy(*message).agg(
-            F.min("position").alias("position"), F.coalesce(F.min("role"), F.lit("")).alias("role"),
-            F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
+            F.min("position").alias("position"), F.coalesce(F.min("role"), F.lit("")).alias("role"), parts.alias("parts"),
         )
-        .select("conv_id", "position", "role", "text")
+        .select("conv_id", "position", "role", F.array_join(text, "").alias("text"))
     )
 
 

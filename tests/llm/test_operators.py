@@ -445,3 +445,20 @@ def test_archives(spark, tmp_path):
     assert [(r.page_id, r.refers_to, r.payload_bytes, r.payload_digest) for r in revisit] == [(5, 2, len(same), hashlib.sha256(same.encode()).hexdigest())]
     assert {r.url for r in revisit} == {"http://a/%0D%0AX: y"}
     assert warc.write_warc(pages.limit(0), f"{tmp_path}/none").count() == 0 == warc.read_warc(spark, f"{tmp_path}/none").count()
+
+
+def test_events_delivered_again_and_resets_of_one_seq(spark):
+    """A repeated row counts once, one reset of a seq wins, and other columns are not read."""
+    rows = [
+        (1, 0, "m", "message", "user", "wrong"), (1, 2, "m", "edit", None, "e1"), (1, 2, "m", "edit", None, "e2"),
+        (1, 2, "m", "delta", None, "-d"), (1, 3, "m", "delta", None, "+"), (1, 3, "m", "delta", None, "+"),
+        (1, 4, "n", "message", "assistant", "a"), (1, 5, "n", "delta", None, "b"), (1, 6, "n", "delta", None, "b"),
+        (2, None, "o", "message", "user", "x"), (2, None, "o", "message", "user", "x"), (2, None, "o", None, None, None),
+        (3, 1, "p", "delta", "user", "only"), (3, 1, "p", "delta", "user", "only"), (3, 2, "p", "delta", None, " deltas"),
+    ]
+    kinds = "conv_id bigint, seq bigint, message_id string, kind string, role string, text string"
+    events = spark.createDataFrame(rows, kinds).selectExpr("*", "'x' as parts", "7 as position", "1 as reset")
+    want = [(1, "user", "e2-d+"), (1, "assistant", "abb"), (2, "user", "x"), (3, "user", "only deltas")]
+    for copies in (events, events.unionByName(events)):
+        got = [(r.conv_id, r.role, r.text) for r in chat.fold_events(copies).orderBy("conv_id", "position").collect()]
+        assert got == want
