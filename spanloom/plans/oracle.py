@@ -192,9 +192,11 @@ outcomes AS (
     j.node_count, j.arrivals, j.closed_us
   FROM judged j LEFT JOIN unique_traces u USING ({ID}))"""
 
-def ticks_from(source: str, times: str, n: int, steps: list[tuple[int, int]], max_open: int, extra: int) -> str:
+def ticks_from(
+    source: str, times: str, n: int, steps: list[tuple[int, int]], max_open: int, extra: int, states: str = "'closed'",
+) -> str:
     """CTEs of `n` ticks over a table of reports, in slices of the time that `times` takes up:
-    `outcomes`, `kept` and `gauges`.
+    `outcomes`, `kept` and `gauges`, and `merged` for traces that end in one of `states`.
 
     Each tick is written out: reports that the blacklist lets through join the open ones, and the
     load of all open traces decides the gap. `extra` microseconds after the last report there is
@@ -247,7 +249,7 @@ black_{k} AS MATERIALIZED (
     every = range(1, last + 2)
     closed = " UNION ALL ".join(
         f"SELECT h.*, CAST({k - 1} AS BIGINT) AS session_no FROM held_{k} h SEMI JOIN "
-        f"(SELECT trace_id FROM judged_{k} WHERE status = 'closed') USING (trace_id)" for k in every
+        f"(SELECT trace_id FROM judged_{k} WHERE status IN ({states})) USING (trace_id)" for k in every
     )
     ended = " UNION ALL ".join(
         f"SELECT trace_id, node_count, status, {k - 1} AS session_no FROM judged_{k} WHERE status IS NOT NULL "
@@ -271,7 +273,8 @@ gauges AS ({gauges})"""
 
 TIE = """(((trace_id % 2147483648) * 2654435761 % 4294967296
   + (trace_id // 2147483648) % 2147483648 * 2246822519 % 4294967296) % 4294967296)"""
-TICKS = f"{LINES}, {ticks_from('reports', 'reports', 4, [(0, 300 * 86_400), (15_000, 200 * 86_400)], 20_000, 10 * 365 * DAY)}"
+_TICKED = ("reports", "reports", 4, [(0, 300 * 86_400), (15_000, 200 * 86_400)], 20_000, 10 * 365 * DAY)
+TICKS = f"{LINES}, {ticks_from(*_TICKED)}"
 
 # Payload fields, per lineitem.
 PAYLOAD = f"""
@@ -365,7 +368,9 @@ def _rfc(ns: str) -> str:
       || CASE WHEN {ns} % 1000000000 = 0 THEN '' ELSE '.' || {digits} END || 'Z'"""
 
 
-_OUTLINE = f"""
+def outline(levels: int, kids: int) -> str:
+    """CTEs `lines_out` and `outlined` of the traces in `merged`, whose roots are `candidates`."""
+    return f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY {ID}, parent_id ORDER BY span_id DESC) AS rank
   FROM merged WHERE span_id <> parent_id),
@@ -378,11 +383,40 @@ listing AS (
   SELECT r.trace_id, r.session_no, r.span_id, r.parent_id, r.name, l.level + 1,
     l.path || '/' || lpad(CAST(r.rank AS VARCHAR), 10, '0')
   FROM listing l JOIN ranked r ON r.trace_id = l.trace_id AND r.session_no = l.session_no
-    AND r.parent_id = l.span_id AND r.rank <= 1
-  WHERE l.level < 2),
+    AND r.parent_id = l.span_id AND r.rank <= {kids}
+  WHERE l.level < {levels}),
 lines_out AS (
   SELECT l.*, coalesce(n, 0) AS n FROM listing l LEFT JOIN kid_counts k
-    ON k.trace_id = l.trace_id AND k.session_no = l.session_no AND k.up = l.span_id)"""
+    ON k.trace_id = l.trace_id AND k.session_no = l.session_no AND k.up = l.span_id),
+outlined AS (
+  SELECT {ID}, level, path, name || ' [' || {HEX.format('span_id')} || ']' AS text, parent_id, span_id FROM lines_out
+  UNION ALL
+  SELECT {ID}, level + 1, path || '/~',
+    CASE WHEN level = {levels} THEN '[...]' ELSE '[... ' || (n - {kids}) || ' more children]' END,
+    span_id, 0 FROM lines_out WHERE (level = {levels} AND n > 0) OR n > {kids})"""
+
+
+def flushes(limit: int, interval: int, order: str) -> str:
+    """CTEs `placed` and `walk` (a row per trace, in the order of its shard) of the traces in `ready`, in three shards."""
+    wait = interval * 9 // 10
+    tick = f"(greatest(w.at_us, w.flushed_us + {wait}) + {interval - 1}) // {interval} * {interval}"
+    return f"""
+placed AS (
+  SELECT *, trace_id % 3 AS shard, row_number() OVER (PARTITION BY trace_id % 3 ORDER BY {order}) AS n FROM ready),
+walk AS (
+  SELECT shard, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS flushed_us,
+    CAST(0 AS BIGINT) AS at_us, CAST(0 AS BIGINT) AS batch FROM placed WHERE n = 1
+  UNION ALL
+  SELECT shard, n,
+    CASE WHEN total >= {limit} THEN 0 ELSE total END,
+    CASE WHEN total >= {limit} THEN closed_us WHEN due THEN tick_us ELSE flushed_us END,
+    closed_us, batch + CAST(due AS BIGINT) + CAST(was_full AS BIGINT)
+  FROM (
+    SELECT *, CAST(CASE WHEN due THEN 0 ELSE held END + node_count AS BIGINT) AS total FROM (
+      SELECT w.shard, p.n, w.held, w.flushed_us, w.batch, p.closed_us, p.node_count, w.held = 0 AND w.n > 0 AS was_full,
+        {tick} AS tick_us, w.held > 0 AND {tick} < p.closed_us AS due
+      FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n + 1)))"""
+
 
 _PERCENTILES = """
   count(*) AS traces, min({0}) AS smallest, max({0}) AS largest"""
@@ -481,18 +515,19 @@ ORACLE: dict[str, str] = {
           any_value(CASE WHEN u.trace_id IS NULL THEN 'no_root' ELSE 'finished' END) AS status
         FROM merged m LEFT JOIN fakes f USING ({ID}) LEFT JOIN unique_traces u USING ({ID})
         GROUP BY m.trace_id""",
-    "trace_outline": f"""WITH RECURSIVE {MERGED}, {roots_of('merged', 'candidates')}, {_OUTLINE}
-        SELECT trace_id, level, path, name || ' [' || {HEX.format('span_id')} || ']' AS text,
-          parent_id, span_id FROM lines_out
-        UNION ALL
-        SELECT trace_id, level + 1, path || '/~',
-          CASE WHEN level = 2 THEN '[...]' ELSE '[... ' || (n - 1) || ' more children]' END,
-          span_id, 0 FROM lines_out WHERE (level = 2 AND n > 0) OR n > 1""",
+    "trace_outline": f"""WITH RECURSIVE {MERGED}, {roots_of('merged', 'candidates')}, {outline(2, 1)}
+        SELECT * EXCLUDE (session_no) FROM outlined""",
+    "dropped_outlines": f"""WITH RECURSIVE {LINES}, {ticks_from(*_TICKED, "'closed', 'too_large', 'too_old'")}, {outline(6, 32)}
+        SELECT l.* EXCLUDE (session_no), o.status, o.batch FROM outlined l
+        JOIN outcomes o ON o.trace_id = l.trace_id AND o.batch = l.session_no
+        WHERE o.status IN ('no_root', 'too_large', 'too_old')""",
     "corrected_spans": f"""WITH RECURSIVE {FULL}
         SELECT {ID}, span_id, parent_id, name, service, start_ns, duration_ns, cs, cr, ss, sr, tags,
           reports, closed_us FROM emitted""",
     "convert_hook": f"""WITH {MERGED}
         SELECT {SPAN.replace('service', 'upper(service) AS service')} FROM merged WHERE name <> ''""",
+    "convert_hook_by_rows": f"""WITH {MERGED}
+        SELECT {SPAN.replace('service', 'upper(service) AS service')} FROM merged WHERE name <> ''""",
     "agent_spans": f"""WITH RECURSIVE {MERGED}, {TREE}, {WALK}
         SELECT CASE WHEN name = '' THEN '(resource empty)' ELSE name END AS resource,
           service AS name, service, start_ns AS start, greatest(duration_ns, 1000) AS duration,
@@ -537,25 +572,21 @@ ORACLE: dict[str, str] = {
           SELECT closed_us - closed_us % 60000000 AS window_us, status, node_count FROM outcomes)
         SELECT coalesce(window_us, -1) AS window_us, coalesce(status, 'all') AS status, count(*) AS traces,
           CAST(sum(node_count) AS BIGINT) AS spans FROM placed GROUP BY ROLLUP (window_us, status)""",
-    "exact_batches": f"""WITH RECURSIVE {OUTCOMES}, placed AS (
-          SELECT trace_id % 3 AS shard, closed_us, node_count, row_number() OVER (
-            PARTITION BY trace_id % 3 ORDER BY closed_us, trace_id, session_no) AS n
-          FROM outcomes WHERE status = 'finished'),
-        walk AS (
-          SELECT shard, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS flushed_us,
-            CAST(0 AS BIGINT) AS at_us, CAST(0 AS BIGINT) AS batch FROM placed WHERE n = 1
-          UNION ALL
-          SELECT shard, n,
-            CASE WHEN total >= 10 THEN 0 ELSE total END, CASE WHEN total >= 10 THEN closed_us WHEN due THEN tick_us ELSE flushed_us END,
-            closed_us, batch + CAST(due AS BIGINT) + CAST(was_full AS BIGINT)
-          FROM (
-            SELECT *, CAST(CASE WHEN due THEN 0 ELSE held END + node_count AS BIGINT) AS total FROM (
-              SELECT w.shard, p.n, w.held, w.flushed_us, w.batch, p.closed_us, p.node_count, w.held = 0 AND w.n > 0 AS was_full,
-                (greatest(w.at_us, w.flushed_us + 2332800000000) + 2591999999999) // 2592000000000 * 2592000000000 AS tick_us,
-                w.held > 0 AND (greatest(w.at_us, w.flushed_us + 2332800000000) + 2591999999999) // 2592000000000 * 2592000000000 < p.closed_us AS due
-              FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n + 1)))
+    "exact_batches": f"""WITH RECURSIVE {OUTCOMES}, ready AS (SELECT * FROM outcomes WHERE status = 'finished'),
+        {flushes(10, 30 * DAY, 'closed_us, trace_id, session_no')}
         SELECT w.shard, count(*) AS traces, CAST(sum(node_count) AS BIGINT) AS spans, min(closed_us) AS first_us, max(closed_us) AS last_us
         FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n GROUP BY w.shard, w.batch""",
+    "flushed_stream": f"""WITH RECURSIVE {TICKS}, ready AS (
+          SELECT o.trace_id, o.batch, o.node_count, g.now_us AS closed_us, (
+            SELECT count(*) FROM kept k WHERE k.trace_id = o.trace_id AND k.session_no = o.batch) AS emitted
+          FROM outcomes o JOIN gauges g USING (batch) WHERE status = 'finished'),
+        {flushes(100, 500 * DAY, 'closed_us, batch, trace_id')},
+        batches AS (
+          SELECT w.shard, w.batch, count(*) AS traces, CAST(sum(emitted) AS BIGINT) AS spans, min(closed_us) AS first_us,
+            max(closed_us) AS last_us, min(held) = 0 AS was_full
+          FROM walk w JOIN placed p ON p.shard = w.shard AND p.n = w.n GROUP BY w.shard, w.batch)
+        SELECT shard, traces, spans, first_us, last_us, was_full OR last_us < (SELECT max(now_us) FROM gauges)
+          OR batch < max(batch) OVER (PARTITION BY shard) AS flushed FROM batches""",
     "exchange_readers": f"""WITH {LINES}
         SELECT reader, (trace_id % 7 + 7) % 7 AS trace_mod, count(*) AS reports, CAST(sum(span_id) AS BIGINT) AS span_ids
         FROM reports CROSS JOIN (VALUES ('fast'), ('slow')) t(reader) GROUP BY 1, 2""",

@@ -280,6 +280,18 @@ def convert_hook(spark: SparkSession, sf: str) -> DataFrame:
     return output.convert(merged(spark, sf), hook).select(*SPAN_OUT)
 
 
+def convert_hook_by_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a function on one span, which raises for what has no name."""
+
+    def rename(span: dict) -> dict:
+        if not span["name"]:
+            raise ValueError("no name")
+        return span | {"service": span["service"].upper()}
+
+    spans = merged(spark, sf).select(*SPAN_OUT)
+    return output.convert(spans, output.row_hook(spans.schema, rename))
+
+
 def agent_spans(spark: SparkSession, sf: str) -> DataFrame:
     spans = output.agent_spans(correct_traces(bounded(merged(spark, sf))))
     text_ids = {c: F.col(c).cast("string") for c in ("span_id", "trace_id", "parent_id")}
@@ -424,10 +436,10 @@ def keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
     return flat(closed).select(*TRACE, *SPAN_OUT[1:], "tags", "received_at", "reports", "closed_us")
 
 
-def _ticked(spark: SparkSession, sf: str) -> ticks.TickJob:
+def _ticked(spark: SparkSession, sf: str, **options) -> ticks.TickJob:
     """All reports through the tick job, one tick per slice of time."""
     limits = ticks.Limits(max_open_spans=SHED_CAP, gap_steps=TICK_STEPS)
-    return replay.replay_ticks(tables.span_reports(spark, sf), work_dir(spark), 4, limits)
+    return replay.replay_ticks(tables.span_reports(spark, sf), work_dir(spark), 4, limits, **options)
 
 
 def tick_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -439,6 +451,29 @@ def tick_gauges(spark: SparkSession, sf: str) -> DataFrame:
     return _ticked(spark, sf).results("gauges")
 
 
+def flushed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of spans as the tick job's sink gets them, with a timer of 500 days, and what it holds at the end."""
+    folder = work_dir(spark)
+    sink = sinks.TableSink("table", f"{folder}/sink")
+    job = _ticked(spark, sf, sinks=(sink,), flush=sinks.Flush(3, 100, 500 * 86_400))
+    tick = F.col("batch")
+    taken = spark.read.parquet(sink.path).withColumn("flushed", F.lit(True))
+    held = job.results("held_spans").filter(tick == job.results("gauges").agg(F.max("batch")).scalar())
+    held = held.withColumns({
+        "shard": F.pmod("trace_id", F.lit(3).cast("bigint")), "batch_tick": F.lit(None).cast("bigint"),
+        "batch_pos": F.lit(None).cast("int"), "flushed": F.lit(False),
+    })
+    return taken.unionByName(held).groupBy("batch", "shard", "batch_tick", "batch_pos", "flushed").agg(
+        F.count_distinct("trace_id", "session_no").alias("traces"), F.count("*").alias("spans"),
+        F.min("closed_us").alias("first_us"), F.max("closed_us").alias("last_us"),
+    ).drop("batch", "batch_tick", "batch_pos")
+
+
+def dropped_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the traces that the tick job drops or finds without a root."""
+    return _ticked(spark, sf, outlines=True).results("outlines").drop("session_no")
+
+
 def compressed_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of gzip files with a payload each."""
     path = f"{work_dir(spark)}/zipped"
@@ -490,7 +525,8 @@ QUERIES: dict[str, Query] = {
         trace_batches, recent_spans, span_json, trace_outcomes, outcome_metrics,
         size_distribution, span_metrics, payload_size, sharded_exchange, topic_records,
         ingest_by_hour, ingest_stream_counts, outcomes_by_minute, exact_batches,
-        exchange_readers, trace_size_quantiles, span_bytes_by_year,
+        exchange_readers, trace_size_quantiles, span_bytes_by_year, convert_hook_by_rows,
+        flushed_stream, dropped_outlines,
         keyed_stream, tick_stream, tick_gauges, compressed_payloads, fan_out, payload_stream,
     )
 }
