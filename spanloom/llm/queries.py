@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import (
@@ -32,15 +32,36 @@ def long_repeats(spark: SparkSession, sf: str) -> DataFrame:
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def chat_events(rows: DataFrame) -> DataFrame:
+    """Rows as logs of events that fold back to them, in the order of turns: a text that streams in two parts,
+    of which the second is delivered twice, one that an edit puts right, or one that is generated anew after
+    a wrong start. A row without a turn is one event."""
+    text, seq = F.coalesce("text", F.lit("")), F.col("turn").cast("bigint") * 8
+    half = F.floor(F.length(text) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    wrong = F.concat(F.lit("wrong "), F.reverse(text))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[
+            F.struct((seq + i).alias("seq"), F.lit(kind).alias("kind"), (F.lit(None) if i else F.col("role")).cast("string").alias("role"),
+                     part.alias("text"))
+            for i, (kind, part) in enumerate(events)
+        ])
+
+    streamed = log(("message", head), ("delta", tail))
+    streamed = F.concat(streamed, F.slice(streamed, 2, 1))
+    edited = log(("message", wrong), ("delta", head), ("edit", text))
+    anew = log(("message", wrong), ("delta", tail), ("regenerate", head), ("delta", tail))
+    way = F.pmod(F.xxhash64("turn", "text"), F.lit(3))
+    told = F.when(seq.isNull(), log(("message", text))).when(way == 0, streamed).when(way == 1, edited).otherwise(anew)
+    return rows.withColumn("message_id", F.monotonically_increasing_id()).select("conv_id", "message_id", F.inline(told))
+
+
 def chat_format(spark: SparkSession, sf: str) -> DataFrame:
-    """Each row of `conversations` is the event that opens a message, in the order of turns."""
+    """Each row of `conversations` as a message out of streamed, edited or regenerated parts."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
-    events = rows.unionByName(added).select(
-        "conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message_id"),
-        F.lit("message").alias("kind"), "role", "text",
-    )
-    return chat.read_back(chat.render(chat.fold_events(events)))
+    return chat.read_back(chat.render(chat.fold_events(chat_events(rows.unionByName(added)))))
 
 
 def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Steps, range_borders, range_piece, shuffle_partitions
+from spanloom.llm.common import Steps, range_borders, shuffle_partitions
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -26,6 +26,8 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of names that a
 
 LEAST_SHARED = 100  # bytes; equal payloads below this are all kept whole
 FILE_BYTES = 128 << 20
+SHARD_BYTES = 512 << 20  # of payloads; a shard is one task
+MOST_SHARDS = 16_384  # their borders are in the plan; beyond that tasks, which stream, get longer
 READ = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 
@@ -93,6 +95,35 @@ def compressed(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as a URI with its store: a plain path is in the store that Spark would write it to.
+
+    That store may be a file system mounted on all executors, as Spark's own tables need it then.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+
+
+def shard_count(rows: DataFrame, least: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for the bytes in the column payload_bytes, at least as many as asked for."""
+    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
+    return min(max(least, -(-total // shard_bytes)), MOST_SHARDS)
+
+
+def shard_of(borders: list[int], value: Column) -> Column:
+    """How many of the sorted borders a value has reached, found by halving; 0 for null."""
+    if not borders:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(borders).bit_length() - 1, -1, -1)]
+    all_borders = F.lit(borders).cast("array<bigint>")
+    return F.aggregate(
+        F.lit(steps), F.lit(0),
+        lambda n, step: F.when(F.get(all_borders, n + step - 1) <= value, n + step).otherwise(n),
+    )
+
+
 def opened(folder: str):
     """File system and path of a folder, given as a plain path or a URI."""
     from pyarrow import fs
@@ -171,7 +202,7 @@ def _renamed(folder: str):
 
 
 def write_warc(
-    pages: DataFrame, folder: str, shards: int | None = None, file_bytes: int = FILE_BYTES,
+    pages: DataFrame, folder: str, shards: int | None = None, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES,
     id_col: str = "page_id", url_col: str = "url", text_col: str = "html", date: str = DATE,
 ) -> DataFrame:
     """Write one record per row below `folder` and return the manifest: one row per file.
@@ -179,26 +210,30 @@ def write_warc(
     Of records with equal payloads of at least 100 bytes, that with the smallest id is a response
     and the others revisit it; rows that repeat the smallest id, and rows with a null id, are
     responses. A null payload is empty, a null url gives no target header. An empty table gives
-    an empty manifest. Other columns are not read. The same rows always give the same bytes.
+    an empty manifest. Other columns are not read. The same rows and shards always give the same bytes.
+    Shards are as many as the payloads need, and at least the session's shuffle partitions. What failed
+    tasks left under temporary names goes once the manifest is written.
 
     Pages are shuffled once: the small table of revisits goes through the same shuffle and comes
     right before the pages of its id and digest.
     """
     spark = pages.sparkSession
-    borders = range_borders(pages, id_col, shards or shuffle_partitions(spark))
+    folder = qualified(spark, folder)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.sha2(text, 256).alias("digest"),
         F.octet_length(text).alias("payload_bytes"), F.lit(None).cast("bigint").alias("refers_to"),
         F.lit(True).alias("is_page"), F.col(url_col).cast("string").alias("url"), text.alias("text"),
     )
+    shards = shards or shard_count(rows, shuffle_partitions(spark), shard_bytes)
+    borders = range_borders(pages, id_col, shards)
     found = revisits(rows).select(
         "page_id", "digest", "refers_to", F.lit(False).alias("is_page"),
         F.lit(None).cast("string").alias("url"), F.lit("").cast("binary").alias("text"),
     )
     both = rows.drop("payload_bytes").unionByName(found)
     dealt = (
-        both.select(range_piece(borders, F.col("page_id")).alias("shard"), *both.columns)
+        both.select(shard_of(borders, F.col("page_id")).alias("shard"), *both.columns)
         .repartition(len(borders) + 1, "shard")
         .sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
     )
@@ -206,6 +241,7 @@ def write_warc(
     manifest = steps.write(dealt.mapInArrow(_written(folder, file_bytes, date), MANIFEST), "warc-written")
     named = manifest.repartition(F.col("file")).mapInArrow(_renamed(folder), MANIFEST)
     named.write.parquet(f"{folder}/_manifest")
+    steps.remove(f"{folder}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
@@ -282,5 +318,6 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
 
     `payload` is null for revisits, and for all if it is not asked for.
     """
+    folder = qualified(spark, folder)
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("file")
     return files.repartition(F.col("file")).mapInArrow(_read(folder, with_payload), RECORD)

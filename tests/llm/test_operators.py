@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import chat, decontaminate, fingerprints, jaccard, licences, packing, suffixes, toxicity, urls, warc
 from spanloom.llm.common import Steps
 from spanloom.llm.components import components
+from spanloom.llm.queries import chat_events
 from tests.llm.conftest import prose
 
 
@@ -462,3 +463,27 @@ def test_events_delivered_again_and_resets_of_one_seq(spark):
     for copies in (events, events.unionByName(events)):
         got = [(r.conv_id, r.role, r.text) for r in chat.fold_events(copies).orderBy("conv_id", "position").collect()]
         assert got == want
+
+
+def test_archive_shards_grow_with_bytes(spark, tmp_path):
+    """Borders are found by halving as by counting; a plain folder is taken from Spark's store; nothing temporary stays."""
+    for borders in ([], [4], [-3, 0, 7], list(range(0, 50, 5))):
+        rows = spark.range(-5, 60).select(F.col("id"), warc.shard_of(borders, F.when(F.col("id") != 59, F.col("id"))).alias("shard")).collect()
+        assert [r.shard for r in rows] == [0 if r.id == 59 else sum(b <= r.id for b in borders) for r in rows]
+    assert warc.qualified(spark, "/a/b") == "file:/a/b" and warc.qualified(spark, "file:/a/b") == "file:/a/b"
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.format_string("%0100d", "id").alias("html"))
+    shards = [warc.write_warc(pages, f"{tmp_path}/{n}", shard_bytes=n).agg(F.count_distinct("shard")).first()[0] for n in (200, 1 << 20)]
+    assert shards == [50, int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    assert not (tmp_path / "200" / "_temporary").exists() and warc.read_warc(spark, f"{tmp_path}/200").count() == 100
+
+
+def test_logs_of_events_fold_back(spark):
+    """Streamed, edited and regenerated texts, nulls, empty and long ones, and rows that repeat."""
+    rows = [(i % 3, i // 3, "user" if i % 2 else None, t) for i, t in enumerate(["", None, "a", "héllo 😀", "x" * 100_001, "</turn>"] * 4)]
+    rows += [(7, 1, "user", "same"), (7, 1, "user", "same"), (8, None, "user", "no turn"), (None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    events = chat_events(df).cache()
+    assert {r.kind for r in events.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = [(r.conv_id, r.position, r.role, r.text) for r in chat.fold_events(events).collect()]
+    want = [(c, None if t is None else t * 8, r or "", x or "") for c, t, r, x in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
