@@ -397,6 +397,16 @@ def _found(model: Model):
     return run
 
 
+def sampled(rows: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows with text of at most n ids, those with the smallest hashes.
+
+    The ids are chosen without their texts, so no task has to hold the texts of all chosen documents; an
+    id that repeats brings all its rows. Rows without an id are not chosen.
+    """
+    ids = rows.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+    return rows.filter(F.col("doc_id").isin([r.doc_id for r in ids]) & F.col("text").isNotNull())
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, licence, licences, probability: one row per document.
 
@@ -405,12 +415,11 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     those of the likeliest confirmed notice (nulls: none), `licences` lists the families found,
     sorted. Only lines and runs that share enough word pairs with a template can be confirmed, so
     only these are classified; SPDX lines count with probability 1. The unknown class is trained on
-    at most 3000 lines of 500 documents, those with the smallest hashes; without documents, on fixed
-    lines alone. Null and empty texts have no paragraphs. Repeated rows are scanned each on their
+    at most 3000 lines of 500 documents, those with the smallest hashes of ids; without documents that
+    have ids, on fixed lines alone. Null and empty texts have no paragraphs. Repeated rows are scanned each on their
     own; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    some = rows.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) between 3 and 400").distinct()
+    lines = sampled(rows).select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) between 3 and 400").distinct()
     sample = [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect()]
     return rows.mapInArrow(_found(fit(sample)), FOUND)

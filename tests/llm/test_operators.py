@@ -487,3 +487,13 @@ def test_logs_of_events_fold_back(spark):
     got = [(r.conv_id, r.position, r.role, r.text) for r in chat.fold_events(events).collect()]
     want = [(c, None if t is None else t * 8, r or "", x or "") for c, t, r, x in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_licence_sample_takes_ids_before_texts(spark):
+    rows = [(i, f"text {i}") for i in range(40)] + [(3, "again"), (None, "no id"), (41, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text) for r in licences.sampled(df, 10).collect())
+    ids = {i for i, _ in got}
+    ranked = [r.doc_id for r in df.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(10).collect()]
+    assert ids == {i for i in ranked if i != 41} and got == sorted((i, t) for i, t in rows if i in ids)
+    assert licences.sampled(df.limit(0)).count() == 0 == licences.sampled(df.filter("doc_id is null")).count()
