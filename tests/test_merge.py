@@ -86,3 +86,17 @@ def test_no_sort_of_rows_by_tag(spark):
     """Without a span with many reports there is one shuffle and no row per tag."""
     plan = M.merge_spans(frame(spark, random_reports(random.Random(8), 20), session_no=1))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
+
+
+def test_spans_of_a_large_trace_are_counted(spark, monkeypatch):
+    """Some spans of a trace with many reports have many, those of the others have few."""
+    rows = [report(1, 1, at=i, tags={"n": str(i)}) for i in range(6)] + [report(1, 2), report(2, 1), report(2, 2, at=3)]
+    df = frame(spark, rows, session_no=1)
+    monkeypatch.setattr(M, "FEW_REPORTS", 2)
+    combined, real = [], M.combine_reports
+    monkeypatch.setattr(M, "combine_reports", lambda some, keys: combined.append(some) or real(some, keys))
+    got = {(r.trace_id, r.span_id): r.reports for r in M.merge_spans(df).collect()}
+    assert got == {(1, 1): 6, (1, 2): 1, (2, 1): 1, (2, 2): 1}
+    assert combined[0].count() == 6
+    monkeypatch.setattr(M, "BROADCAST_IDS", 0)
+    assert {(r.trace_id, r.span_id): r.reports for r in M.merge_spans(df).collect()} == got
