@@ -35,21 +35,19 @@ def correct_timings(spans: DataFrame, base_offset_ns: int = 0) -> DataFrame:
     folder = work_dir(spans.sparkSession)
     timings = [F.col(c) for c in TIMINGS]
     spans = cut_lineage(spans, f"{folder}/spans")
-    own = spans.select(
-        *_KEYS, "parent_id", "start_ns", "duration_ns", *TIMINGS, skew(*timings).alias("skew")
-    )
+    # What is joined round by round are ids and sums; times come in once the sums are known.
+    own = spans.select(*_KEYS, "parent_id", skew(*timings).alias("skew"))
     ptr = F.when(F.col("parent_id") != F.col("span_id"), F.col("parent_id"))
     # First jump: a parent that is not there makes the span the root.
     nodes = (
-        own.withColumn("ptr", ptr)
+        own.select(*_KEYS, ptr.alias("ptr"))
         .join(_target(own, "skew", "span_id"), [*TRACE, "ptr"], "left")
         .select(
-            *_KEYS, "parent_id", "start_ns", "duration_ns", *TIMINGS,
-            F.col("up_span_id").alias("ptr"), F.coalesce("up_skew", F.lit(0)).alias("sum"),
+            *_KEYS, F.col("up_span_id").alias("ptr"), F.coalesce("up_skew", F.lit(0)).alias("sum"),
+            F.col("up_span_id").alias("parent"),
         )
     )
-    nodes = cut_lineage(nodes, f"{folder}/linked")
-    jumps = nodes.select(*_KEYS, "ptr", "sum")
+    jumps = cut_lineage(nodes, f"{folder}/linked")
     open_before, round_no = None, 0
     # A chain shortens every round; when nothing does, only cycles are left.
     while (still := jumps.filter(F.col("ptr").isNotNull()).count()) not in (0, open_before):
@@ -58,18 +56,18 @@ def correct_timings(spans: DataFrame, base_offset_ns: int = 0) -> DataFrame:
             *_KEYS,
             F.col("up_ptr").alias("ptr"),
             add(F.col("sum"), F.coalesce("up_sum", F.lit(0).cast("bigint"))).alias("sum"),
+            "parent",
         )
         jumps = cut_lineage(jumped, f"{folder}/jump={round_no}")
 
-    found = jumps.filter(F.col("ptr").isNull()).select(*_KEYS, "sum")
+    found = jumps.filter(F.col("ptr").isNull()).select(*_KEYS, "sum", "parent")
     shifted = add(F.col("sum"), F.lit(base_offset_ns).cast("bigint"))
     known = has_all_timings(*timings)
     start = F.when(known, add(F.col("cs"), shifted)).otherwise(add(F.col("start_ns"), shifted))
     length = F.when(known, subtract(F.col("cr"), F.col("cs"))).otherwise(F.col("duration_ns"))
     reached = F.col("sum").isNotNull()
     timed = (
-        nodes.withColumnRenamed("ptr", "parent")
-        .drop("sum")
+        spans.select(*_KEYS, "start_ns", "duration_ns", *TIMINGS)
         .join(found, _KEYS, "left")
         .select(
             *_KEYS,

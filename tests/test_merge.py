@@ -82,6 +82,18 @@ def test_spans_with_many_reports_are_combined(spark, monkeypatch, few, ids):
     assert by_trace(merged) == by_trace(M.combine_reports(df))
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_some_columns_are_as_in_the_whole_fold(spark, monkeypatch, few):
+    """Also where spans with many reports are combined."""
+    monkeypatch.setattr(M, "FEW_REPORTS", few)
+    df = frame(spark, random_reports(random.Random(5), 60), session_no=1)
+    for columns in (["name", "last_at"], ["parent_id", "start_ns"], ["tags", "ss"], ["cr", "reports"]):
+        keys = ["trace_id", "span_id"]
+        got, want = M.merge_spans(df, columns=columns), M.merge_spans(df).select(*keys, "session_no", *columns)
+        flat = lambda d: sorted(str(r.asDict()) for r in d.select(*keys, *columns).collect())
+        assert flat(got) == flat(want)
+
+
 def test_no_sort_of_rows_by_tag(spark):
     """Without a span with many reports there is one shuffle and no row per tag."""
     plan = M.merge_spans(frame(spark, random_reports(random.Random(8), 20), session_no=1))._jdf.queryExecution().executedPlan().toString()

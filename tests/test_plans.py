@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import sessions
+from spanloom.operators import sessions, timings, tree
 from spanloom.operators.merge import merge_spans
-from spanloom.operators.traces import correct_traces
+from spanloom.operators.traces import collect_traces, correct_traces, judge_traces
 from spanloom.plans import assemble, queries
 from spanloom.plans.assemble import LIST_LIMIT
 from spanloom.sources import payloads, tables
@@ -48,6 +48,30 @@ def test_assembly_shuffles_wide_rows_twice(spark, tmp_path, no_broadcast):
     assert above_join.count("Exchange") == 1 and "trace_id" in above_join
 
 
+def test_small_traces_are_shuffled_once_from_report_to_trace(spark, tmp_path):
+    """Merging brings a trace together, and only the columns that are wanted."""
+    frame(spark, [report(1, 1), report(1, 2, 1), report(2, 1)], session_no=1).write.parquet(str(tmp_path / "r"))
+    columns = ["parent_id", "start_ns", "duration_ns", "cs", "cr", "ss", "sr"]
+    spans = merge_spans(spark.read.parquet(str(tmp_path / "r")), columns=columns)
+    text = plan(judge_traces(collect_traces(spans)))
+    assert text.count("Exchange hashpartitioning(trace_id") == 1
+    assert "sr#" in text and not re.search(r"\b(tags|name|service)#", text)
+
+
+def test_timings_move_no_times_while_jumping(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timings, "work_dir", lambda spark: str(tmp_path))
+    timings.correct_timings(merged_frame(spark, [report(1, 1, 1), report(1, 2, 1), report(1, 3, 2)])).collect()
+    linked = spark.read.parquet(str(tmp_path / "linked"))
+    assert set(linked.columns) == {"trace_id", "session_no", "span_id", "ptr", "sum", "parent"}
+
+
+def test_fake_roots_are_written_once(spark, tmp_path):
+    spans = merged_frame(spark, [report(5, 1, 9), report(5, 2, 9), report(2, 1, 1)])
+    got = tree.require_unique_root(tree.inject_fake_root(spans, str(tmp_path / "fakes")))
+    assert spark.read.parquet(str(tmp_path / "fakes")).count() == 1
+    assert sorted((r.trace_id, r.span_id) for r in got.collect()) == [(2, 1), (5, 1), (5, 2), (5, 9)]
+
+
 def test_slim_scan_for_sessions(spark):
     text = plan(sessions.classify_sessions(tables.arrivals(spark, SMALL), 8_000_000))
     read = re.findall(r"ReadSchema: struct<([^>]*)>", text)
