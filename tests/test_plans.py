@@ -145,3 +145,8 @@ def test_outcomes_read_ids_and_times_twice(spark, tmp_path, no_broadcast):
     wanted = {"trace_id", "span_id", "parent_id", "received_at", "payload_id", "pos"}
     assert len(read) == 2 and all(set(re.findall(r"(\w+):", r)) <= wanted for r in read)
     assert text.count("Join") == 1
+
+
+def test_no_stage_runs_as_one_method_that_is_never_compiled(spark):
+    """The JVM interprets methods of more than 8000 bytes; Spark itself takes such stages up to 65535."""
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
