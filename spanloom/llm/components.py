@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Steps
+from spanloom.llm.common import Steps, few_tasks
+
+LINKS = 65_536  # of a task
 
 
 def components(links: DataFrame, steps: Steps) -> DataFrame:
@@ -24,17 +26,22 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         if not found.n or (found.n, found.h) == state:
             break
         state = found.n, found.h
+
+        def few(df: DataFrame) -> DataFrame:
+            # No step makes more rows of this than there are ends of links.
+            return few_tasks(df, 2 * found.n, LINKS)
+
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(
             edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high"))
-        edges = steps.write(large.distinct(), "large-star")
-        down = edges.groupBy(F.col("high").alias("u")).agg(F.min("low").alias("m"))
+        edges = steps.write(few(large.distinct()), "large-star")
+        down = few(edges.groupBy(F.col("high").alias("u")).agg(F.min("low").alias("m")))
         pairs = edges.select(F.col("high").alias("u"), F.col("low").alias("v")).join(down, "u")
         small = pairs.filter("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high")).unionByName(
             down.select(F.col("m").alias("low"), F.col("u").alias("high"))
         )
-        edges = steps.write(small.distinct(), "small-star")
+        edges = steps.write(few(small.distinct()), "small-star")
     rooted = edges.select(F.col("high").alias("node"), F.col("low").alias("root"))
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Steps, shuffle_partitions
+from spanloom.llm.common import Steps, few_tasks, shuffle_partitions
 from spanloom.llm.components import components
 from spanloom.llm.tokens import STEP, mix, numbers, shingle_sets
 
@@ -29,6 +29,9 @@ MOST_HASHES = 288
 FAMILY = 0.5  # similarity to a pivot that makes a member
 BLOCK = 1024  # members that are compared with as many others at a time
 FEW = 50_000  # document ids that are broadcast, instead of a join of all texts
+ROWS = 65_536  # slim rows of a task
+LISTS = 4096  # rows with a list of hashes
+TEXTS = 1024  # rows with a text
 
 SIGNED = "doc_id bigint, h bigint, key bigint, n bigint, bands array<bigint>"
 COMPARED = "key bigint, pivot bigint, n bigint, n_pivot bigint, shared bigint, difference array<bigint>"
@@ -121,10 +124,11 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame, steps: Steps,
     docs = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), "text")
     ids = classes.select("key", "doc", "h")
     pairs = steps.write(pairs, f"{name}-pairs")
+    most = 2 * pairs.count()  # a member each, and no more pivots
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
     members = pairs.join(salts, "pivot").select("key", "pivot", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt"))
     pivots = salts.select(F.col("pivot").alias("key"), "pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    wanted = steps.write(members.unionByName(pivots).join(ids, "key"), f"{name}-wanted")
+    wanted = steps.write(few_tasks(members.unionByName(pivots).join(ids, "key"), most, ROWS), f"{name}-wanted")
     few = wanted.select("doc").distinct()
     if few.limit(FEW + 1).count() <= FEW:
         docs = docs.join(F.broadcast(few), "doc", "left_semi")
@@ -132,7 +136,7 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame, steps: Steps,
     else:
         rows = docs.join(wanted.hint("merge"), ["doc", "h"])
     n = shuffle_partitions(docs.sparkSession)
-    dealt = rows.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("key") != F.col("pivot"), "key")
+    dealt = few_tasks(rows.repartition(n, "pivot", "salt"), most, TEXTS).sortWithinPartitions("pivot", "salt", F.col("key") != F.col("pivot"), "key")
     return steps.write(dealt.select("pivot", "salt", "key", "text").mapInArrow(_compared(shingle), COMPARED), name)
 
 
@@ -253,17 +257,19 @@ def classified(rows: DataFrame, threshold: float, recall: float, shingle: int) -
     steps = Steps(rows.sparkSession)
     signed = steps.write(sign(rows, threshold, recall, shingle), "signed")
     known = signed.filter("key is not null and doc_id is not null")
+    n = signed.count()
     classes = steps.write(
-        known.groupBy("key").agg(
+        few_tasks(known.groupBy("key").agg(
             F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
-        ).select("key", F.col("first.doc_id").alias("doc"), "first.h", "copies", "n", "bands"), "classes",
+        ).select("key", F.col("first.doc_id").alias("doc"), "first.h", "copies", "n", "bands"), n, LISTS), "classes",
     )
     banded = classes.select("key", "doc", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min(F.struct("doc", "key")).alias("p"), F.count("*").alias("size"))
-    buckets = steps.write(
-        banded.select("key", "band").join(shared.filter("size > 1").select("band", F.col("p.key").alias("pivot")), "band"), "buckets"
-    )
-    stars = compare(rows, buckets.filter("key <> pivot").select("key", "pivot").distinct(), classes, steps, shingle, "stars")
+    shared = shared.filter("size > 1").select("band", F.col("p.key").alias("pivot"))
+    bands = choose_bands(threshold, recall)[0]
+    buckets = steps.write(few_tasks(banded.select("key", "band").join(shared, "band"), bands * n, ROWS), "buckets")
+    in_buckets = buckets.filter("key <> pivot").select("key", "pivot").distinct()
+    stars = compare(rows, few_tasks(in_buckets, buckets.count(), ROWS), classes, steps, shingle, "stars")
 
     near = stars.filter("difference is not null").join(classes.select(F.col("key").alias("pivot"), F.col("doc").alias("p_doc")), "pivot")
     first = near.groupBy("key").agg(F.min_by(F.struct("pivot", "n", "n_pivot", "difference"), F.struct("p_doc", "pivot")).alias("s"))
@@ -272,12 +278,12 @@ def classified(rows: DataFrame, threshold: float, recall: float, shingle: int) -
         "key", F.col("key").alias("family"), F.col("n_pivot").alias("n"), "n_pivot", F.array().cast("array<bigint>").alias("difference")
     )
     families = steps.write(
-        members.unionByName(heads).join(classes.select("key", "copies"), "key"), "families"
+        few_tasks(members.unionByName(heads).join(classes.select("key", "copies"), "key"), n, LISTS), "families"
     )
     inside = steps.write(family_links(families, threshold), "family-links")
 
     alone = buckets.select("key").distinct().join(families.select("key"), "key", "left_anti").select("key", F.col("key").alias("family"))
-    homes = steps.write(families.select("key", "family").unionByName(alone), "homes")
+    homes = steps.write(few_tasks(families.select("key", "family").unionByName(alone), n, ROWS), "homes")
     crossing = compare(rows, cross_pairs(stars, buckets, homes, threshold), classes, steps, shingle, "crossing")
     home_of = lambda name: homes.select(F.col("key").alias(name), F.col("family").alias(f"{name}_home"))
     over = (

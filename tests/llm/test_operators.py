@@ -5,6 +5,7 @@ import re
 import textwrap
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -148,6 +149,20 @@ def test_components(spark):
     assert roots == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40, 60: 40}
 
 
+def test_rounds_of_few_links_make_few_files(spark, tmp_path):
+    """Each file of a small step is a task, and each round has several steps."""
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        steps = Steps(spark)
+        components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint"), steps)
+    finally:
+        spark.conf.set(coalesce, before)
+    rounds = [f for f in Path(steps.folder).iterdir() if "star" in f.name]
+    assert rounds and all(len(list(f.glob("part-*"))) == 1 for f in rounds)
+
+
 # --- 4 URLs
 
 
