@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.merge import combine_reports, fold_lists, valid_spans
+from spanloom.operators.merge import MERGED_COLUMNS, combine_reports, fold_lists, valid_spans
 from spanloom.operators.output import convert
 from spanloom.operators.sessions import closed_spans, session_outcomes
 from spanloom.operators.traces import collect_traces, finish_traces, judge_traces
@@ -18,31 +18,40 @@ LIST_LIMIT = 4 * MAX_TRACE_SPANS
 
 
 def assemble_traces(
-    reports: DataFrame, gap_us: int, max_spans: int = MAX_TRACE_SPANS
+    reports: DataFrame, gap_us: int, max_spans: int = MAX_TRACE_SPANS, columns: Sequence[str] = MERGED_COLUMNS,
 ) -> DataFrame:
     """Reports to one row per closed trace, judged.
 
+    Only `columns` are folded, beside the ids; the others are not shuffled either (see collect_traces).
+
     Wide shuffles: one that assigns sessions and drops bad traces, keyed by trace id and time
     bucket, and one that brings a trace together, keyed by trace id and session. Traces with
     few arrivals merge inside the second; those with very many arrivals of few ids merge
     before it, combined on the map side.
     """
     closed = closed_spans(valid_spans(reports), gap_us, max_spans)
+    # What nobody wants is nothing behind that join, so that both ways of merging read the same columns of one shuffle.
+    absent = {"name": F.lit(""), "service": F.lit(""), "tags": F.create_map().cast("map<string,string>")}
+    closed = closed.withColumns({c: nothing for c, nothing in absent.items() if c not in columns})
     few = closed.filter(F.col("arrivals") <= LIST_LIMIT)
     many = closed.filter(F.col("arrivals") > LIST_LIMIT)
     # closed_us belongs to the trace, so it may be a key as well and comes along for free.
     keys = [*TRACE, "closed_us"]
-    together = fold_lists(few.repartition(*[F.col(c) for c in TRACE]), keys)
-    traces = collect_traces(together).unionByName(collect_traces(combine_reports(many, keys)))
+    together = fold_lists(few.repartition(*[F.col(c) for c in TRACE]), keys, columns)
+    hot = combine_reports(many, keys).select(*keys, "span_id", *columns)
+    traces = collect_traces(together).unionByName(collect_traces(hot))
     return judge_traces(traces)
 
 
 def correct_spans(
     reports: DataFrame, gap_us: int, max_spans: int = MAX_TRACE_SPANS,
-    hook: Callable[[DataFrame], DataFrame] = lambda df: df,
+    hook: Callable[[DataFrame], DataFrame] = lambda df: df, columns: Sequence[str] = MERGED_COLUMNS,
 ) -> DataFrame:
-    """Corrected spans of all traces with a unique root, through the user's hook."""
-    return convert(finish_traces(assemble_traces(reports, gap_us, max_spans)), hook)
+    """Corrected spans of all traces with a unique root, through the user's hook.
+
+    Of the columns of a merged span only `columns` are made; parents and times must be among them.
+    """
+    return convert(finish_traces(assemble_traces(reports, gap_us, max_spans, columns)), hook)
 
 
 def trace_outcomes(

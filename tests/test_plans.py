@@ -150,3 +150,17 @@ def test_outcomes_read_ids_and_times_twice(spark, tmp_path, no_broadcast):
 def test_no_stage_runs_as_one_method_that_is_never_compiled(spark):
     """The JVM interprets methods of more than 8000 bytes; Spark itself takes such stages up to 65535."""
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_correction_reads_only_wanted_columns(spark, tmp_path, monkeypatch):
+    rows = [report(1, 1, name="a"), report(1, 2, 1, tags={"k": "v"}), report(7, 1, 9), report(7, 2, 9, sr=5), report(7, 2, 9, name="b")]
+    frame(spark, rows).write.parquet(str(tmp_path / "r"))
+    reports = spark.read.parquet(str(tmp_path / "r"))
+    columns = ["parent_id", "start_ns", "duration_ns", "cs", "cr", "ss", "sr"]
+    for limit in (LIST_LIMIT, 1):
+        monkeypatch.setattr(assemble, "LIST_LIMIT", limit)
+        spans = assemble.correct_spans(reports, 8_000_000, columns=columns)
+        assert "tags:" not in plan(spans) and "service:" not in plan(spans)
+        whole = assemble.correct_spans(reports, 8_000_000).select(*spans.columns)
+        assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, whole.collect()))
+        assert spans.count() == 5
