@@ -152,6 +152,13 @@ def test_no_stage_runs_as_one_method_that_is_never_compiled(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
 
 
+def test_outcomes_of_small_traces_shuffle_arrivals_once(spark, tmp_path, no_broadcast, monkeypatch):
+    monkeypatch.setattr(sessions, "TASK_ARRIVALS", 1)  # so that there are several tasks
+    frame(spark, [report(1, 1), report(1, 2, 1), report(2, 1)]).write.parquet(str(tmp_path / "r"))
+    text = plan(assemble.trace_outcomes(spark.read.parquet(str(tmp_path / "r")), 8_000_000))
+    assert text.count("Exchange ") == text.count("Exchange hashpartitioning(trace_id") == 2
+
+
 def test_correction_reads_only_wanted_columns(spark, tmp_path, monkeypatch):
     rows = [report(1, 1, name="a"), report(1, 2, 1, tags={"k": "v"}), report(7, 1, 9), report(7, 2, 9, sr=5), report(7, 2, 9, name="b")]
     frame(spark, rows).write.parquet(str(tmp_path / "r"))

@@ -150,3 +150,23 @@ def test_outcomes_of_odd_trees(spark):
 
     merged = merge_spans(frame(spark, rows, session_no=1))
     assert got == {r.trace_id: r.status for r in judge_traces(collect_traces(merged)).collect()}
+
+
+def test_outcomes_are_the_same_however_arrivals_are_brought_together(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [
+        report(rng.randrange(1, 9), rng.randrange(1, 6), rng.randrange(6), at=rng.randrange(200) / 2, payload_id=i)
+        for i in range(120)
+    ]
+    rows += [report(1, 3, received_at=None), report(9, 1, received_at=None), report(10, 1, at=1), report(None, 1, at=1)]
+    df = frame(spark, rows)
+
+    def outcomes():
+        return sorted(map(tuple, S.session_outcomes(df, GAP, 4).collect()))
+
+    together = outcomes()
+    assert {r[0] for r in together} == {*range(1, 9), 10}
+    for few, most in ((15, 50_000), (0, 50_000), (15, 1)):  # some, all and too many to be told
+        monkeypatch.setattr(S, "FEW_ARRIVALS", few)
+        monkeypatch.setattr(S, "BROADCAST_IDS", most)
+        assert outcomes() == together
