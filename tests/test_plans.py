@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import sessions, timings, tree
+from spanloom.operators import output, sessions, timings, tree
 from spanloom.operators.merge import merge_spans
 from spanloom.operators.traces import collect_traces, correct_traces, judge_traces
 from spanloom.plans import assemble, queries
@@ -171,3 +171,32 @@ def test_correction_reads_only_wanted_columns(spark, tmp_path, monkeypatch):
         whole = assemble.correct_spans(reports, 8_000_000).select(*spans.columns)
         assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, whole.collect()))
         assert spans.count() == 5
+
+
+def test_small_trace_ids_are_shuffled_once_from_report_to_corrected_span(spark, tmp_path, no_broadcast, monkeypatch):
+    """Sessions are found where a trace is merged and corrected; the result is that of spreading arrivals by time."""
+    gap_us = 8_000_000
+    rows = [
+        report(t, i + 1, i, at=at, payload_id=i, name=f"{t}-{i}")
+        for t, times in {
+            1: (0, 1, 2), 2: (0, 20, 21), 3: (0, 7, 14, 21, 28, 35, 42, 90), 4: (0, 200, *range(300, 350, 7), 900), 5: (0, 8, 7, 0),
+        }.items()
+        for i, at in enumerate(times)
+    ]
+    frame(spark, rows).write.parquet(str(tmp_path / "r"))
+    reports = spark.read.parquet(str(tmp_path / "r"))
+    outcome = lambda df: sorted(str(r) for r in df.withColumn("tags", F.map_entries("tags")).collect())
+    spread = outcome(assemble.correct_spans(reports, gap_us))
+    monkeypatch.setattr(sessions, "TASK_ARRIVALS", 1)  # so that there are several tasks
+    spans = assemble.correct_spans(reports, gap_us)
+    text = plan(spans)
+    assert text.count("Exchange ") == text.count("Exchange hashpartitioning(trace_id") == 2
+    assert outcome(spans) == spread and len(spread) == 3 + 3 + 2 + 4
+    monkeypatch.setattr(sessions, "FEW_ARRIVALS", 3)  # so that some ids are spread
+    assert outcome(assemble.correct_spans(reports, gap_us)) == spread
+
+
+def test_each_task_keeps_the_recent_spans_only(spark):
+    spans = merged_frame(spark, [report(t, 1, 1) for t in range(1, 9)]).withColumn("closed_us", F.col("trace_id"))
+    recent = output.recent_spans(spans.repartition(4), 3)
+    assert "WindowGroupLimit" in plan(output.recent_spans(spans)) and [r.trace_id for r in recent.collect()] == [8, 7, 6]
